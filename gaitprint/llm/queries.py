@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitprint.llm import packing, token_counts, token_files
+from gaitprint.llm import language, packing, telephony, token_counts, token_files, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +18,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as mu-law recordings, read back, decoded, resampled and described."""
+    return telephony.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token-id files and read back."""
     return token_files.read_tokens(token_files.write_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram of all documents with the totals of every context limit."""
     return token_counts.context_totals(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.withColumn("held_out", language.held_out()), language.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_telephony, op5_token_files, op6_vector_search, op8_token_counts, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
