@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this package where neither PYTHONPATH nor the working folder leads them to it."""
+    package = Path(__file__).resolve().parents[1]
+    known = {*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()}
+    sc = spark.sparkContext
+    if str(package.parent) in {os.path.abspath(p) for p in known if p} or any(package.name in f for f in getattr(sc, "_python_includes", [])):
+        return
+    file = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in package.rglob("*.py"):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(file))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

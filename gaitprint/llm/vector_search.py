@@ -79,11 +79,14 @@ def scan(q: np.ndarray, v: np.ndarray, bound: np.ndarray, k: int, columns: int =
     """Pairs (query, vector) of rotated unit rows that no hypothesis test dropped.
 
     ``bound`` is each query's squared distance that k candidates are known to reach; it is tightened by
-    this block's own first vectors.
+    this block's own first vectors.  The nearest of those first ones are among the pairs whatever the
+    tests say, so that a query never ends with fewer than k while there are as many.
     """
     dims = q.shape[1]
-    if len(v) > 4 * k:  # the first vectors in full, for a bound of their own
-        head = ((q[:, None, :] - v[None, : 4 * k, :]) ** 2).sum(axis=2)
+    # The first vectors in full; one neighbour more than k, as the query itself may be among them.
+    head = ((q[:, None, :] - v[None, : 4 * k, :]) ** 2).sum(axis=2)
+    sure = np.argpartition(head, k, axis=1)[:, : k + 1] if head.shape[1] > k + 1 else np.tile(np.arange(head.shape[1]), (len(q), 1))
+    if head.shape[1] > k:
         bound = np.minimum(bound, np.partition(head, k, axis=1)[:, k] + 1e-9)
     first = min(columns, dims)
     part = (q[:, :first] ** 2).sum(1)[:, None] + (v[:, :first] ** 2).sum(1)[None, :] - 2 * q[:, :first] @ v[:, :first].T
@@ -98,7 +101,7 @@ def scan(q: np.ndarray, v: np.ndarray, bound: np.ndarray, k: int, columns: int =
         at = to
         stay = part <= limit(at)[i]
         i, j, part = i[stay], j[stay], part[stay]
-    return i, j
+    return np.concatenate([i, np.repeat(np.arange(len(q)), sure.shape[1])]), np.concatenate([j, sure.ravel()])
 
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -165,14 +168,17 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, known = shared.value
+        own_list = (known.astype(np.float64) @ c.T).argmax(axis=1)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 u = unit(matrix(batch.column(1)))
-                s = u @ known.T.astype(np.float64)
-                # The query itself may be in the sample: the bound is that of one neighbour more.
-                bound = 2 - 2 * np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if known.shape[0] > k else np.full(len(u), np.inf)
                 near = np.argpartition(-(u @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(u), 1))
+                probed = np.zeros((len(u), len(c)), bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                # What the sample reaches within the probed lists; one neighbour more than k, as the query itself may be in it.
+                s = np.where(probed[:, own_list], u @ known.T.astype(np.float64), -np.inf)
+                bound = 2 - 2 * np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if known.shape[0] > k else np.full(len(u), np.inf)
                 rows = np.repeat(np.arange(len(u)), near.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(near.ravel().astype(np.int32)), pa.array(np.maximum(bound, 0)[rows] + 1e-6)],
