@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitprint.llm import language, packing, telephony, token_counts, token_files, vector_search
+from gaitprint.llm import language, near_copies, packing, telephony, token_counts, token_files, vector_search
 from gaitprint.llm.common import ship_package
 
 
@@ -25,6 +25,11 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token-id files and read back."""
     return token_files.read_tokens(token_files.write_tokens(_table(spark, sf_dir, "documents")))
@@ -48,7 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_telephony, op5_token_files, op6_vector_search, op8_token_counts, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_telephony, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
