@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitprint.llm import language, near_copies, packing, telephony, token_counts, token_files, vector_search
+from gaitprint.llm import language, near_copies, packing, personal_data, telephony, token_counts, token_files, vector_search
 from gaitprint.llm.common import ship_package
 
 
@@ -45,6 +45,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_totals(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data.span_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -53,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_telephony, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_telephony, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op9_personal_data, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
