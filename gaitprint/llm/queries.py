@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitprint.llm import language, near_copies, packing, personal_data, telephony, token_counts, token_files, vector_search
+from gaitprint.llm import language, mixing, near_copies, packing, personal_data, telephony, token_counts, token_files, vector_search
 from gaitprint.llm.common import ship_package
 
 
@@ -25,6 +25,11 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every document."""
     return near_copies.near_copies(_table(spark, sf_dir, "documents"))
@@ -58,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_telephony, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op9_personal_data, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_telephony, op3_mixing, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op9_personal_data, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
