@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaitprint.llm import language, mixing, near_copies, packing, personal_data, telephony, token_counts, token_files, vector_search
+from gaitprint.llm import language, mixing, near_copies, packing, page_text, personal_data, telephony, token_counts, token_files, vector_search
 from gaitprint.llm.common import ship_package
 
 
@@ -45,6 +45,11 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram of all documents with the totals of every context limit."""
     return token_counts.context_totals(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
@@ -63,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_telephony, op3_mixing, op4_near_copies, op5_token_files, op6_vector_search, op8_token_counts, op9_personal_data, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_telephony, op3_mixing, op4_near_copies, op5_token_files, op6_vector_search, op7_page_text, op8_token_counts, op9_personal_data, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
