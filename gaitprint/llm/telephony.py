@@ -86,7 +86,9 @@ def encode_adpcm(pcm: np.ndarray, block: int = BLOCK) -> np.ndarray:
     x = np.concatenate([pcm, np.full(n * per - len(pcm), pcm[-1] if len(pcm) else 0, pcm.dtype)]).reshape(n, per).astype(np.int64)
     out = np.zeros((n, block), dtype=np.uint8)
     out[:, :2] = x[:, :1].astype("<i2").view(np.uint8)
-    value, index, steps = x[:, 0].copy(), np.zeros(n, dtype=np.int64), step_sizes()
+    value, steps = x[:, 0].copy(), step_sizes()
+    index = np.minimum(np.searchsorted(steps, np.abs(np.diff(x[:, :8], axis=1)).max(axis=1, initial=0)), 88)  # a step that fits the first samples
+    out[:, 2] = index
     for k in range(per - 1):
         step = steps[index]
         off = x[:, k + 1] - value
