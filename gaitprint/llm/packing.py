@@ -105,18 +105,18 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, longest: int = LONGES
 def pack(docs: DataFrame, vocabulary: str | None = None, longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs`` (see :func:`pieces`) with sequence_id and offset.
 
-    Sequences are numbered without gaps, longest bucket first.  A bucket's base and each task's base within
-    it are prefix sums over one small row per task and length, so no row is moved to be numbered.
+    Sequences are numbered without gaps, longest bucket first.  A bucket's base is a prefix sum over the
+    lengths, each task's base within it one over one small row per task.
     """
     cut = stage_table(pieces(docs, vocabulary, longest, end_id), "pieces")
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        cut.groupBy("length", "part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    )
-    # One row per task and length (12 lengths at 2048): it grows with the number of tasks, never with their rows.
-    return cut.join(F.broadcast(bases), ["length", "part"]).select(
+    counts = stage_table(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    earlier = (Window.unboundedPreceding, -1)
+    longer = counts.groupBy("length").agg(F.sum("n").alias("all")).withColumn("longer", F.coalesce(F.sum("all").over(Window.orderBy(F.desc("length")).rowsBetween(*earlier)), F.lit(0)))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(*earlier)), F.lit(0))
+    bases = stage_table(counts.withColumn("own", own).join(longer, "length").select("length", "part", (F.col("longer") + F.col("own")).alias("base")), "bases")
+    # One row per task and length (12 lengths at 2048). As a table of its own it is broadcast only while its measured
+    # size is under Spark's threshold; beyond that both sides are hashed by task and length.
+    return cut.join(bases, ["length", "part"]).select(
         "doc_id",
         "start",
         "length",
