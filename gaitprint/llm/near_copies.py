@@ -11,8 +11,8 @@ hold several components: small ones give the pairs between components, large one
 bounded size that meet two by two in tasks, and those emit only links that join components.  So no group of
 copies becomes all its pairs, and no link between components is lost.
 
-A pair at the threshold shares no band with probability (1 - 0.85**4)**32, about 6e-11, and a true pair
-falls below the estimate's bound (six standard errors) less often still.
+A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, about 5e-8 (6e-11 at 0.85), and a
+true pair falls below the estimate's bound (six standard errors) less often still.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from gaitprint.llm.common import mix64, slices, stage_table
 
 WORDS = 5
 #: Hundredths of the union that the intersection of linked sets reaches.
-THRESHOLD = 85
+THRESHOLD = 80
 HASHES, BANDS, BITS = 128, 32, 4
-#: Estimates this far below the threshold (six standard errors of 128 minima) are still confirmed.
-MARGIN = 0.19
+#: Estimates so many standard errors below the threshold are still confirmed.
+ERRORS = 6
 #: Buckets of up to so many nodes give pairs; larger ones are cut into blocks of about BLOCK nodes.
 SMALL, BLOCK = 32, 256
 _WORD = np.ones(256, bool)
@@ -172,13 +172,19 @@ def estimate(a: str, b: str) -> Column:
     return (agree - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+def least_estimate(threshold: int) -> float:
+    """The estimate from which a pair is confirmed on its full sets."""
+    agree = threshold / 100 * (1 - 2.0**-BITS) + 2.0**-BITS
+    return threshold / 100 - ERRORS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
+
+
 def _screened(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimates may reach it."""
     words = [f"s{k}" for k in range(HASHES // 16)]
     side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n_shingles", *words).alias(f"{x}_"))
     sized = 100 * F.least("a_.n_shingles", "b_.n_shingles") >= threshold * F.greatest("a_.n_shingles", "b_.n_shingles")
     return (
-        pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (estimate("a_", "b_") >= threshold / 100 - MARGIN)).select("a", "b")
+        pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (estimate("a_", "b_") >= least_estimate(threshold))).select("a", "b")
     )
 
 
@@ -277,7 +283,7 @@ def _between_components(nodes: DataFrame, texts: DataFrame, joined: DataFrame, b
             y = x | (x >> np.uint64(1))
             y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
             agree = 1 - np.bitwise_count(y).sum(axis=1) / HASHES
-            close = (agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= threshold / 100 - MARGIN
+            close = (agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= least_estimate(threshold)
             close &= 100 * np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :])
             close &= comp[i] != comp[i + 1 :]
             close &= (bands[i] == bands[i + 1 :]).argmax(axis=1) == here  # a pair is looked at in its first common band
@@ -335,5 +341,6 @@ def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows with a null doc_id stay.
     """
     kept = stage_table(near_copies(docs, threshold).where("kept").select("doc_id").distinct(), "kept")
-    rows = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where("doc_id IS NULL").select(*rows.columns)).select(*docs.columns)
+    kept = kept.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "kept_id")
+    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where(docs["doc_id"].isNull()))

@@ -32,7 +32,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every document."""
-    return near_copies.near_copies(_table(spark, sf_dir, "documents"))
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

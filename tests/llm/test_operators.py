@@ -127,7 +127,8 @@ def family(rng, n, words, changes):
     return out
 
 
-def test_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_copies(spark, monkeypatch, threshold):
     monkeypatch.setattr(near_copies, "SMALL", 6)  # so that blocks are used as well
     monkeypatch.setattr(near_copies, "BLOCK", 8)
     rng = random.Random(2)
@@ -144,15 +145,15 @@ def test_near_copies(spark, monkeypatch):
 
     for a in known:
         for b in known:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = sorted((root(rows[a][0]), root(rows[b][0])))
                 parent[y] = x
-    got = near_copies.near_copies(docs).collect()
+    got = near_copies.near_copies(docs, threshold).collect()
     assert len(got) == len(rows)
     wanted = sorted((rows[i][0], len(sets[i]), root(rows[i][0]), rows[i][0] == root(rows[i][0])) for i in known)
     assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == wanted
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
-    left = near_copies.drop_near_copies(docs)
+    left = near_copies.drop_near_copies(docs, threshold)
     assert left.columns == docs.columns and left.count() == len({root(rows[i][0]) for i in known}) + 1
     assert near_copies.near_copies(empty(spark)).count() == 0
 

@@ -30,4 +30,4 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_queries_are_registered():
     assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{k}" for k in range(1, 11))
-    assert language.UNKNOWN == "und" and near_copies.THRESHOLD == 85
+    assert language.UNKNOWN == "und" and near_copies.THRESHOLD == 80
