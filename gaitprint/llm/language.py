@@ -17,10 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitprint.llm.common import slices
+from gaitprint.llm.common import free_name, own_columns, slices
 
 #: Labelled rows that a model is fitted on at most (about), and languages it can tell apart at most.
 MAX_ROWS, MAX_LANGUAGES = 4096, 128
+#: Characters of one labelled row that the sample holds at most; a longer text gives an excerpt from a drawn place.
+#: So the sample is at most 2 * MAX_ROWS * SAMPLE_CHARS characters.  Predictions read whole texts.
+SAMPLE_CHARS = 16_384
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE = 16, 16, 6, 1.0
 ORDERS = (2, 3, 4)
 #: Share of right predictions that calibration may reject.
@@ -195,37 +198,39 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> Model | Non
     wanted = F.lit(False)
     for row in counts:
         wanted = wanted | ((F.col("lang") == row["lang"]) & (draw < int(min(1.0, each / row["count"]) * (1 << 30))))
-    rows = known.where(wanted).select("text", "lang").distinct().limit(2 * max_rows).toPandas().sort_values(["lang", "text"])
+    start = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    some = known.where(wanted).select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    rows = some.distinct().limit(2 * max_rows).toPandas().sort_values(["lang", "text"])
     return train(rows["text"].tolist(), rows["lang"].tolist(), seed) if len(rows) else None
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """``docs`` (``text``, and to fit a model ``doc_id``, ``lang``) with lang_pred, score and rejected added.
 
     lang_pred is a learnt value, or ``und`` with score 0 where the text is null, empty or has no letter (or
     nothing could be learnt).  score is the calibrated probability.  rejected marks ``und`` and scores below
-    the calibrated bound.  Columns of those names are replaced; all others, repeated rows and order within a
+    the calibrated bound.  ``names`` gives them other names.  Columns of those names are replaced; all others, repeated rows and order within a
     partition stay.
     """
     model = model or fit(docs)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    base = docs.select(*[c for c, name in zip(own_columns(docs), docs.columns, strict=True) if name in kept])
     if model is None:
-        return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return base.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True)), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = kept.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        names = pa.array([*m.languages, UNKNOWN])
+        langs = pa.array([*m.languages, UNKNOWN])
         for batch in slices(batches, limit=1 << 20):
             own, score, rejected = m.predict(batch.column(place))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, names.take(pa.array(np.where(own < 0, len(m.languages), own))), pa.array(np.clip(score, 0, 1)), pa.array(rejected)],
-                names=[*batch.schema.names, "lang_pred", "score", "rejected"],
+                [*batch.columns, langs.take(pa.array(np.where(own < 0, len(m.languages), own))), pa.array(np.clip(score, 0, 1)), pa.array(rejected)],
+                names=[*batch.schema.names, *names],
             )
 
-    schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
+    schema = base.withColumns(dict(zip(names, (F.lit(""), F.lit(0.0), F.lit(True)), strict=True))).schema
     for f in schema.fields:
         f.nullable = True
     return base.mapInArrow(predict, schema)
@@ -233,4 +238,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with their own columns."""
-    return identify(docs, model).where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = tuple(free_name(docs, x) for x in ("lang_pred", "score", "rejected"))
+    return identify(docs, model or fit(docs), names).where(~F.col(names[2])).select(*own_columns(docs))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitprint.llm.common import stage_table
+from gaitprint.llm.common import free_name, own_columns, stage_table
 
 #: How many times its own size a source, and a document, may be taken.
 MOST = 3
@@ -111,7 +111,7 @@ def balanced_rates(sized: DataFrame, margins: dict[str, dict], most: int = MOST,
     """Rates under token targets for several columns at once, such as source and lang.
 
     ``margins`` names, per column, the wanted tokens of its values; their sum must be the same for every column,
-    and the values together at most ``limit``.  Returns those columns with rate, one row per combination
+    and the values together at most ``limit`` (combinations: at most its square; more of either is an error).  Returns those columns with rate, one row per combination
     that occurs.  The corpus is summed by combination; Newton steps run on the sums.  Rates stop at ``most``.
     """
     columns = list(margins)
@@ -120,6 +120,8 @@ def balanced_rates(sized: DataFrame, margins: dict[str, dict], most: int = MOST,
         raise ValueError("too many constraints")
     spark = sized.sparkSession
     rows = sized.groupBy(*columns).agg(F.sum("size").alias("size")).limit(limit * limit + 1).toPandas()
+    if len(rows) > limit * limit:
+        raise ValueError("too many combinations")
     groups = np.array([[r[c] == v or (v is None and pd.isna(r[c])) for c, v in names] for _, r in rows.iterrows()], dtype=float).reshape(len(rows), len(names))
     m = balance(rows["size"].to_numpy(float), groups, np.array([margins[c][v] for c, v in names], dtype=float))
     rows["rate"] = np.minimum(np.exp(groups @ m), most)
@@ -201,6 +203,8 @@ def copy_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     taken equally often: as often as the first of them.
     """
     taken = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("copies_"))
-    taken = stage_table(taken.select(F.col("doc_id").alias("id_"), "copies_"), "copies")
-    times: Column = F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id_"))).where("copies_ > 0").withColumn("nth_", times).select(*docs.columns)
+    id_, copies, nth = (free_name(docs, x) for x in ("mix_doc_id", "mix_copies", "mix_nth"))
+    taken = stage_table(taken.select(F.col("doc_id").alias(id_), F.col("copies_").cast("int").alias(copies)), "copies")
+    times: Column = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))).where(F.col(copies) > 0)
+    return joined.withColumn(nth, times).select(*own_columns(docs))

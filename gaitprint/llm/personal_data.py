@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitprint.llm.common import free_name, own_columns
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 MIN_SCORE = 0.6
@@ -149,14 +151,14 @@ def _kind_spans(text: Column, kind: str) -> Column:
     return F.coalesce(F.when(_HINTS[kind](text), good), empty)
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (``text``) with ``pii_spans``: all reported spans by start, then kind in the order of ``KINDS``.
+def find_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
+    """``docs`` (``text``) with ``pii_spans`` (or another ``name``): all reported spans by start, then kind in the order of ``KINDS``.
 
     Each span is a struct of start, rank, kind, end (exclusive), score and good; positions are code points.
-    Null and empty texts have none; other columns and repeated rows stay (a column pii_spans is replaced).
+    Null and empty texts have none; other columns and repeated rows stay (a column of that name is replaced).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("pii_spans", F.array_sort(F.concat(*[_kind_spans(text, k) for k in KINDS])))
+    return docs.withColumn(name, F.array_sort(F.concat(*[_kind_spans(text, k) for k in KINDS])))
 
 
 def _joined(spans: Column) -> Column:
@@ -177,7 +179,8 @@ def mask(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first takes the place of all.  Null texts stay null.  An n_chars column is
     set to the new length.
     """
-    found = find_spans(docs)
+    spans = free_name(docs, "pii_spans")
+    found, any_ = find_spans(docs, spans), F.size(spans) > 0
     text = F.col("text")
 
     def add(acc: Column, s: Column) -> Column:
@@ -187,8 +190,9 @@ def mask(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    changed = found.withColumn("text", F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, add, rest)).otherwise(text))
+    changed = found.withColumn("text", F.when(any_, F.aggregate(spans, start, add, rest)).otherwise(text))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(any_, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*own_columns(docs))
 

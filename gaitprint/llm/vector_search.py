@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaitprint.llm.common import stage_table
@@ -117,11 +118,13 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
 def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and embedding of the rows that take part.
 
-    Left out: null ids and vectors, zero vectors, vectors with a null or non-finite component, and vectors of
+    Components keep single precision where they have it and are doubles otherwise.  Left out: null ids and vectors, zero vectors, vectors with a null or non-finite component, and vectors of
     another length than most.
     """
     x = F.col("embedding")
-    good = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")).where(
+    kind = table.schema[embedding].dataType
+    kind = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    good = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding")).where(
         F.col("vec_id").isNotNull()
         & x.isNotNull()
         & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
@@ -142,6 +145,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
     spark = table.sparkSession
     out = "query_id long, vec_id long, score double"
     good = valid_vectors(table)
+    kind = good.schema["embedding"].dataType.simpleString()
     first = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, dims = first["n"], first["d"]
     if not n:
@@ -185,9 +189,9 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
                     names=["query_id", "query", "list", "bound"],
                 )
 
-    indexed = stage_table(good.mapInArrow(assign, "vec_id long, embedding array<float>, list int"), "lists")
+    indexed = stage_table(good.mapInArrow(assign, f"vec_id long, embedding {kind}, list int"), "lists")
     queries = stage_table(
-        indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(probe, "query_id long, query array<float>, list int, bound double"), "probes"
+        indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(probe, f"query_id long, query {kind}, list int, bound double"), "probes"
     )
     # A row per list, of which there are 1024 at most.
     parts = (

@@ -171,6 +171,8 @@ def test_personal_data(spark):
     assert got == ["email:5:13", "ip:3:13", "card:5:24", "phone:5:22", "iban:5:32", "", "ssn:4:15", "", "email:4:9", "email:0:5,email:5:11", "", ""]
     masked = personal_data.mask(docs.drop("pii_spans")).orderBy("doc_id").collect()
     assert masked[0]["text"] == "mail [EMAIL], b@c" and masked[0]["n_chars"] == len(masked[0]["text"]) and masked[9]["text"] == "[EMAIL][EMAIL]" and masked[10]["text"] is None
+    odd = personal_data.mask(docs.withColumn("a.b", F.lit(7)).withColumn("n_chars", F.col("n_chars").cast("int")))
+    assert odd.columns == [*docs.columns, "a.b"] and {r["pii_spans"] for r in odd.collect()} == {"keep"} and odd.schema["n_chars"].dataType.simpleString() == "int"
     long = spark.createDataFrame([(1, "a@b.c " * 3000 + "1 " * 20_000)], "doc_id long, text string")
     row = personal_data.span_digest(long).first()
     assert row["n_email"] == 3000 and row["n_card"] == 0 and row["spans"].endswith("email:17994:17999")
@@ -201,7 +203,10 @@ def test_mixing(spark):
     again = mixing.mix(docs.repartition(7)).toPandas()
     key = ["source", "size", "doc_id", "taken"]
     assert again[key].sort_values(key).reset_index(drop=True).equals(got[key].sort_values(key).reset_index(drop=True))
+    clash = mixing.copy_rows(docs.withColumn("mix_copies", F.lit("x")).withColumn("mix_nth", F.lit("y")).withColumn("a.b", F.lit(1))).toPandas()
+    assert set(clash["mix_copies"]) == {"x"} and set(clash["mix_nth"]) == {"y"}
     copies = mixing.copy_rows(docs)
+    assert len(clash) == copies.count()
     assert copies.columns == docs.columns and copies.where("source = 'a'").count() > 0
     assert mixing.mix(empty(spark)).count() == 0
 
@@ -232,6 +237,9 @@ def test_vector_search(spark):
         assert len(own) == 5 and own["vec_id"].is_unique and own["score"].tolist() == s[own["vec_id"]].tolist()
         hits += len(set(best) & set(own["vec_id"]))
     assert hits / (18 * 5) >= 0.9 and set(got["query_id"]) == set(range(0, 900, 50))
+    wide = vector_search.nearest(table.select("vec_id", F.transform("embedding", lambda e: e.cast("double") + 1e-12).alias("embedding")), every=300).where("query_id = 300").first()
+    d = d + 1e-12
+    assert wide["score"] == (d[300] * d[wide["vec_id"]]).sum() / (np.sqrt((d[300] * d[300]).sum()) * np.sqrt((d[wide["vec_id"]] * d[wide["vec_id"]]).sum()))
     few = vector_search.nearest(table.where("vec_id < 3"), every=50)
     assert few.count() == 2 and vector_search.nearest(table.limit(0)).count() == 0
 
@@ -248,6 +256,10 @@ def test_page_text(spark):
     got = {r["page_id"]: r for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[1]["text"] == "A & B\n\nOne. two\n\nThree <4>" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "plain text" and got[5]["text"] == "open"
+    # Hosts whose templates begin alike keep their own: both boilerplate texts go.
+    twins = [(100 * h + i, f"http://h{h}.example/{i}", PAGE % (bare % (c * 3)).replace("Same words here", f"Words of host {chr(97 + h)} only")) for h in range(12) for i, c in enumerate(letters)]
+    own = page_text.extract(spark.createDataFrame(twins, "page_id long, url string, html string")).collect()
+    assert len(own) == len(twins) and all(r["text"] == f"Own text number {letters[r['page_id'] % 100] * 3} goes here and on and on." for r in own)
     for i, c in enumerate(letters):
         assert got[10 + i]["text"] == f"Own text number {c * 3} goes here and on and on."
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -266,7 +278,10 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
     assert all(0 <= r["score"] <= 1 for r in got) and {r["lang_pred"] for r in got if r["doc_id"] in (1000, 1001, 1002)} == {"und"}
     kept = language.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id < 400").count() >= 398 and kept.where("doc_id >= 1000").count() == 0
+    assert kept.schema.simpleString() == docs.schema.simpleString() and {(r["score"], r["lang_pred"]) for r in kept.collect()} == {("x", 1)}
+    long = spark.createDataFrame([(k, " ".join(words[lang] * 3000), lang) for k, lang in enumerate(["en", "de"] * 12)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in language.identify(long).collect())
+    assert kept.where("doc_id < 400").count() >= 398 and kept.where("doc_id >= 1000").count() == 0
     assert language.identify(docs.limit(0)).count() == 0
     unlabelled = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
