@@ -4,8 +4,9 @@ A page's tokens are its block tags and its texts, each with the path of blocks i
 occurrence vector says how often it occurs in each page of its host.  Tokens with one vector form an
 equivalence class; classes of several tokens that most of the host's pages have are valid, and as every
 token carries its path, their tags nest into the host's template.  What the template doesn't fix are slots.
-A page's main text are the blocks of its article slot (an article or main element, or else the slot with
-the most text that the template doesn't fix), without parts that the page marks as something else.
+A page's main text are the blocks of its slots that the template doesn't fix, without parts that the page
+marks as something else: those of its article or main elements, whose text weighs more than other text, and
+those of the largest slot where that outweighs them.
 
 Vectors are never built: a token's vector is represented by its page count and a sum of hashes of
 (page, count), which partial aggregation adds up, so no task holds a host.
@@ -29,7 +30,9 @@ from gaitprint.llm.common import slices, stage_table
 SUPPORT, PAGES, CLASS = 0.5, 3, 2
 #: Pages of a host are spread over so many groups when they meet their template.
 SALT = 32
-#: In a page without an article element: share of the largest slot's text that another slot needs to be kept.
+#: What a character in an article or main element weighs, against 1 elsewhere, when the slot with the main text is chosen.
+MAIN_WEIGHT = 8
+#: Outside article elements: share of the largest slot's text that another slot needs to be kept.
 OTHER_SLOTS = 0.25
 
 _BLOCKS = frozenset(
@@ -53,6 +56,7 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _marked(attributes: str) -> bool:
@@ -63,12 +67,17 @@ def _marked(attributes: str) -> bool:
 
 
 class Block:
-    """A run of text: its path, where it belongs (article, other or neither), and the text itself."""
+    """A run of text: its slot, where it belongs (article, other or neither), its token, and the text itself."""
 
-    __slots__ = ("main", "other", "path", "slot", "text")
+    __slots__ = ("main", "other", "slot", "text", "token")
 
-    def __init__(self, path: int, slot: int, main: bool, other: bool, text: str):
-        self.path, self.slot, self.main, self.other, self.text = path, slot, main, other, text
+    def __init__(self, token: int, slot: int, main: bool, other: bool, text: str):
+        self.token, self.slot, self.main, self.other, self.text = token, slot, main, other, text
+
+
+def _token(path: int, text: str) -> int:
+    """A text with its path; numbers within words are alike, as they count or date, but bare numbers are not."""
+    return xxhash.xxh64_intdigest(_DIGITS.sub("0", text) if _LETTER.search(text) else text, path) >> 1
 
 
 def parse(page: str) -> tuple[list[Block], Counter]:
@@ -91,8 +100,9 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             if text:
                 top = stack[-1]
                 slot = next(x for x in reversed(stack) if x[0] not in _LEAVES)[1]
-                blocks.append(Block(top[1], slot, top[2], top[3], text))
-                tokens[xxhash.xxh64_intdigest(_DIGITS.sub("0", text), top[1]) >> 1] += 1
+                token = _token(top[1], text)
+                blocks.append(Block(token, slot, top[2], top[3], text))
+                tokens[token] += 1
 
     while at < end:
         lt = page.find("<", at)
@@ -161,17 +171,17 @@ _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th".split())
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks of a page, joined by empty lines; ``template`` are its host's template tokens."""
+    """The blocks of a page that hold its main text, joined by empty lines; ``template`` are its host's template tokens."""
     blocks, _ = parse(page or "")
-    own = [b for b in blocks if not b.other]
-    if any(b.main for b in own):
-        return "\n\n".join(b.text for b in own if b.main)
-    free = [b for b in own if xxhash.xxh64_intdigest(_DIGITS.sub("0", b.text), b.path) >> 1 not in template]
+    free = [b for b in blocks if not b.other and b.token not in template]
     size: Counter = Counter()
     for b in free:
-        size[b.slot] += len(b.text)
-    least = OTHER_SLOTS * max(size.values(), default=0)
-    return "\n\n".join(b.text for b in free if size[b.slot] >= least)
+        if not b.main:
+            size[b.slot] += len(b.text)
+    largest = max(size.values(), default=0)
+    if MAIN_WEIGHT * sum(len(b.text) for b in free if b.main) >= largest:
+        return "\n\n".join(b.text for b in free if b.main)
+    return "\n\n".join(b.text for b in free if b.main or size[b.slot] >= OTHER_SLOTS * largest)
 
 
 def host(url: str = "url"):

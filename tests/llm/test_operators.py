@@ -265,6 +265,20 @@ def test_page_text(spark):
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, pages):
+    return {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_page_template_within_articles(spark):
+    article = "<article><h1>On %s</h1><p>You read this for free, tell others.</p><p>Own text of %s here.</p><p>%d</p></article>"
+    pages = [(i, f"http://h.example/{i}", PAGE % (article % (c, c, 7 * i))) for i, c in enumerate("abcdefgh")]
+    # A teaser in an article element isn't taken for a page whose text lies elsewhere.
+    pages.append((50, "http://other.example/", "<body><article>Teaser.</article><div><p>" + "Much more text. " * 20 + "</p></div></body>"))
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"On {c}\n\nOwn text of {c} here.\n\n{7 * i}" for i, c in enumerate("abcdefgh"))
+    assert got[50].startswith("Teaser.\n\nMuch more text.")
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"en": "the and that with have this from they would there".split(), "de": "der und nicht sich auch werden eine über schon für".split()}
