@@ -8,6 +8,9 @@ A page's main text are the blocks of its slots that the template doesn't fix, wi
 marks as something else: those of its article or main elements, whose text weighs more than other text, and
 those of the largest slot where that outweighs them.
 
+Copies of a page are no evidence of a template: pages of a host whose own text is equal (all but marked
+parts, numbers within words aside) count as one page.
+
 Vectors are never built: a token's vector is represented by its page count and a sum of hashes of
 (page, count), which partial aggregation adds up, so no task holds a host.
 """
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from gaitprint.llm.common import slices, stage_table
 
-#: Share of a host's pages, and pages at least, that have a valid class; tokens that a class has at least.
+#: Share of a host's distinct pages, and distinct pages at least, that have a valid class; tokens that a class has at least.
 SUPPORT, PAGES, CLASS = 0.5, 3, 2
+#: A token that every page has.
+ANY = -1
 #: Pages of a host are spread over so many groups when they meet their template.
 SALT = 32
 #: What a character in an article or main element weighs, against 1 elsewhere, when the slot with the main text is chosen.
@@ -194,21 +199,28 @@ def templates(pages: DataFrame) -> DataFrame:
 
     A host's template has at most 1 / SUPPORT times as many tokens as its pages have on average.
     """
-    hosted = pages.select(host().alias("host"), F.coalesce(F.xxhash64("page_id", "url"), F.lit(0)).alias("page"), "html").where("host IS NOT NULL AND html IS NOT NULL")
+    hosted = pages.select(host().alias("host"), "html").where("host IS NOT NULL AND html IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 4 << 20):
-            hosts, pages_, tokens, places = [], batch.column(1).to_pylist(), [], []
-            for name, page, text in zip(batch.column(0).to_pylist(), pages_, batch.column(2).to_pylist(), strict=True):
-                for token, n in parse(text)[1].items():
-                    hosts.append(name)
-                    tokens.append(token)
-                    places.append(xxhash.xxh32_intdigest(f"{page}:{n}"))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(places, pa.int64())], names=["host", "token", "place"])
-
-    vectors = hosted.mapInArrow(count, "host string, token long, place long").groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("place").alias("vector"))
-    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= PAGES)
-    common = stage_table(vectors.where(F.col("pages") >= PAGES).join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("all")).drop("all"), "vectors")
+            contents, wholes, tokens = [], [], []
+            for text in batch.column(1).to_pylist():
+                blocks, found = parse(text)
+                contents.append(xxhash.xxh64_intdigest(b"".join(b.token.to_bytes(8, "little") for b in blocks if not b.other)) >> 1)
+                tokens.append([*sorted(found.items()), (ANY, 1)])
+                wholes.append(xxhash.xxh64_intdigest(repr(tokens[-1])) >> 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(contents, pa.int64()), pa.array(wholes, pa.int64()), pa.array(tokens, pa.map_(pa.int64(), pa.int32()))], names=["host", "content", "whole", "tokens"]
+            )
+
+    # Pages of a host with equal text of their own are one witness, with the tokens of the one among them whose tokens hash lowest.
+    parsed = hosted.mapInArrow(count, "host string, content long, whole long, tokens map<long,int>")
+    distinct = parsed.groupBy("host", "content").agg(F.min_by("tokens", "whole").alias("tokens"))
+    each = distinct.select("host", "content", F.explode("tokens").alias("token", "n")).withColumn("place", F.pmod(F.xxhash64("content", "n"), F.lit(1 << 32)))
+    vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("place").alias("vector"))
+    often = stage_table(vectors.where(F.col("pages") >= PAGES), "vectors")
+    sizes = often.where(F.col("token") == ANY).select("host", F.col("pages").alias("all"))
+    common = often.where(F.col("token") != ANY).join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("all")).drop("all")
     valid = common.groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= CLASS)
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
@@ -217,7 +229,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     text is the main text of the whole page (empty if there is none, or if html is null or empty), n_chars
-    its code points.  A page without a host, or of a host of fewer than three pages, has no template and is
+    its code points.  A page without a host, or of a host of fewer than three distinct pages, has no template and is
     read by its own marks alone.  Repeated rows stay; an empty table gives no rows.
     """
     known = stage_table(templates(pages), "templates")

@@ -279,6 +279,20 @@ def test_page_template_within_articles(spark):
     assert got[50].startswith("Teaser.\n\nMuch more text.")
 
 
+def test_page_template_of_copies(spark):
+    bare = "<div><p>First part of %s.</p><p>Second part of %s.</p><p>Last part of %s.</p></div>"
+    copies = [(i, f"http://h.example/{i}", PAGE % (bare % (("it",) * 3))) for i in range(9)]
+    others = [(20 + i, f"http://h.example/o{i}", PAGE % (bare % ((c,) * 3))) for i, c in enumerate("abcd")]
+    repeated = [(40, "http://r.example/", PAGE % (bare % (("one",) * 3)))] * 4
+    # A copy in other surroundings is a copy, and an empty page has no tokens.
+    copies[3] = (3, "http://h.example/3", copies[3][2].replace("Home", "Start"))
+    got = texts_of(spark, [*copies, *others, *repeated, (50, "http://h.example/e", "")])
+    text = lambda c: f"First part of {c}.\n\nSecond part of {c}.\n\nLast part of {c}."
+    assert all(got[i] == text("it") for i in range(9)) and all(got[20 + i] == text(c) for i, c in enumerate("abcd")) and got[40] == text("one")
+    articles = [(i, u, h.replace("<div><p>", "<article><p>").replace("</p></div>", "</p></article>")) for i, u, h in copies]
+    assert all(x == text("it") for x in texts_of(spark, articles).values())
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"en": "the and that with have this from they would there".split(), "de": "der und nicht sich auch werden eine über schon für".split()}
