@@ -6,7 +6,8 @@ equivalence class; classes of several tokens that most of the host's pages have
 token carries its path, their tags nest into the host's template.  What the template doesn't fix are slots.
 A page's main text are the blocks of its slots that the template doesn't fix, without parts that the page
 marks as something else: those of its article or main elements, whose text weighs more than other text, and
-those of the largest slot where that outweighs them.
+those of the container with the most text where that outweighs them.  A container is an outermost division of
+the page; all below it belong to it, whatever their size.  A page with text outside of divisions is one container.
 
 Copies of a page are no evidence of a template: pages of a host whose own text is equal (all but marked
 parts, numbers within words aside) count as one page.
@@ -37,8 +38,6 @@ ANY = -1
 SALT = 32
 #: What a character in an article or main element weighs, against 1 elsewhere, when the slot with the main text is chosen.
 MAIN_WEIGHT = 8
-#: Outside article elements: share of the largest slot's text that another slot needs to be kept.
-OTHER_SLOTS = 0.25
 
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -49,6 +48,9 @@ _RAW = frozenset("script style textarea title noscript iframe template svg xmp".
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset("head nav footer aside form button select menu dialog object".split())
 _MAIN = frozenset(("article", "main"))
+#: Elements that hold no more than the page itself, and those below them that can be a slot's container.
+_PAGE = frozenset(("", "html", "body"))
+_CONTAINERS = frozenset(("div", "section", "center"))
 #: Words of a class, id or role that mark a block as something other than the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
@@ -72,7 +74,7 @@ def _marked(attributes: str) -> bool:
 
 
 class Block:
-    """A run of text: its slot, where it belongs (article, other or neither), its token, and the text itself."""
+    """A run of text: its slot's container (0 is the page), where it belongs (article, other or neither), its token, and the text itself."""
 
     __slots__ = ("main", "other", "slot", "text", "token")
 
@@ -104,7 +106,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             held.clear()
             if text:
                 top = stack[-1]
-                slot = next(x for x in reversed(stack) if x[0] not in _LEAVES)[1]
+                outer = next((x for x in stack if x[0] not in _PAGE), stack[0])
+                slot = outer[1] if outer[0] in _CONTAINERS else 0
                 token = _token(top[1], text)
                 blocks.append(Block(token, slot, top[2], top[3], text))
                 tokens[token] += 1
@@ -183,10 +186,11 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     for b in free:
         if not b.main:
             size[b.slot] += len(b.text)
-    largest = max(size.values(), default=0)
+    whole = 0 in size
+    slot, largest = (0, size.total()) if whole else max(size.items(), key=lambda x: x[1], default=(0, 0))
     if MAIN_WEIGHT * sum(len(b.text) for b in free if b.main) >= largest:
         return "\n\n".join(b.text for b in free if b.main)
-    return "\n\n".join(b.text for b in free if b.main or size[b.slot] >= OTHER_SLOTS * largest)
+    return "\n\n".join(b.text for b in free if b.main or whole or b.slot == slot)
 
 
 def host(url: str = "url"):

@@ -279,6 +279,19 @@ def test_page_template_within_articles(spark):
     assert got[50].startswith("Teaser.\n\nMuch more text.")
 
 
+def test_page_keeps_small_parts(spark):
+    parts = "<blockquote>Quoted.</blockquote><ul><li>One</li><li>Two</li></ul><pre>x = 1</pre><table><tr><td>Cell</td></tr></table><section><p>Short section.</p></section>"
+    small = "Quoted.\n\nOne\n\nTwo\n\nx = 1\n\nCell\n\nShort section."
+    long = "Main paragraph. " * 60
+    pages = [
+        (1, "http://x.y/1", f"<body><nav>Go</nav><div class='w'><div><p>{long}</p>{parts}</div></div></body>"),
+        (2, "http://x.y/2", f"<body><h2>Head</h2><p>{long}</p>{parts}</body>"),
+        (3, "http://x.y/3", f"<body><div><p>{long}</p></div><section><p>Aside of the page</p></section></body>"),
+    ]
+    got = texts_of(spark, pages)
+    assert got[1] == f"{long.strip()}\n\n{small}" and got[2] == f"Head\n\n{long.strip()}\n\n{small}" and got[3] == long.strip()
+
+
 def test_page_template_of_copies(spark):
     bare = "<div><p>First part of %s.</p><p>Second part of %s.</p><p>Last part of %s.</p></div>"
     copies = [(i, f"http://h.example/{i}", PAGE % (bare % (("it",) * 3))) for i in range(9)]
