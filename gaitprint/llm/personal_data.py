@@ -22,6 +22,20 @@ MIN_SCORE = 0.6
 #: Characters before and after a span (up to the next proposal of its kind) that are searched for words.
 NEAR = 40
 
+#: Length of an IBAN by the countries that have it.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_KNOWN = "(?:" + "|".join(c for known in _IBAN_COUNTRIES.values() for c in known.split()) + ")"
+#: A known country's IBAN has its length, so that what follows it is left alone; with another country code it is a run of
+#: capitals and digits, which ends before a known one.
+_IBAN = "|".join(
+    [rf"(?:{known.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}+" for length, known in _IBAN_COUNTRIES.items()]
+    + [rf"(?!{_IBAN_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_IBAN_KNOWN}[0-9]{{2}}))?[A-Z0-9]){{11,30}}+"]
+)
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: What proposes a span.  Cards and phones are proposed only with a fitting number of digits.
 PATTERNS = {
@@ -29,7 +43,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text must pass to be searched for a kind at all.

@@ -179,6 +179,21 @@ def test_personal_data(spark):
     assert personal_data.span_digest(empty(spark)).count() == 0
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    texts = ["DE89370400440532013000 Please pay", "GB82 WEST 1234 5698 7654 32 Bank of", "GB82WEST12345698765432 12 May", "GB82WEST12345698765432 EUR 500.", "NO93 8601 1117 947 NO", "FR14 2004 1010 0505 0001 3M02 606 I", "GB82WEST12345698765432X", "AB12 3456 7890 1234 GB82WEST12345698765432 A"]
+    texts += ["MT84 MALT 0110 0001 2345 MTLC AST0 01S. A", "DE89370400440532013000 GB82WEST12345698765432"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["spans"] for r in personal_data.span_digest(docs).orderBy("doc_id").collect()]
+    assert got[:8] == ["iban:0:22", "iban:0:27", "iban:0:22", "iban:0:22", "iban:0:18", "iban:0:33", "", "iban:20:42"]
+    assert got[8] == "iban:0:38" and got[9] == "iban:0:22,iban:23:45"
+    # Codes of no known country are still proposed.
+    at = int("370400440532013000" + "3333" + "00")
+    other = f"XX{98 - at % 97:02d}370400440532013000"
+    one = spark.createDataFrame([(1, f"{other} x"), (2, f"{texts[1]} ")], "doc_id long, text string")
+    assert [r["spans"] for r in personal_data.span_digest(one).orderBy("doc_id").collect()] == ["iban:0:22", "iban:0:27"]
+    assert [r["text"] for r in personal_data.mask(docs).orderBy("doc_id").limit(2).collect()] == ["[IBAN] Please pay", "[IBAN] Bank of"]
+
+
 def test_mixing(spark):
     docs, rows = corpus(spark, ["many " * 4000] * 3)
     got = mixing.mix(docs).toPandas()
