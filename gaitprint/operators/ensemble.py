@@ -84,10 +84,15 @@ def blend(wide: DataFrame, recipe, name: str = "score") -> DataFrame:
     missing = set(weights) - set(wide.columns)
     if missing:
         raise ValueError(f"no scores of {sorted(missing)}")
+    return wide.withColumn(name, blend_column(weights))
+
+
+def blend_column(recipe):
+    """The weighted sum of a recipe's columns."""
     total = None
-    for m, w in weights.items():
+    for m, w in check_recipe(recipe).items():
         total = F.col(m) * w if total is None else total + F.col(m) * w
-    return wide.withColumn(name, total)
+    return total
 
 
 def out_of_time_scores(table: DataFrame, roles: DataFrame, specs: dict = SPECS) -> DataFrame:
@@ -103,6 +108,15 @@ def out_of_time_scores(table: DataFrame, roles: DataFrame, specs: dict = SPECS)
     return out
 
 
+def recipe_scores(scores: DataFrame, recipes: dict = RECIPES) -> DataFrame:
+    """recipe, fold, cookie_id, target, score: each recipe's blend of out-of-time scores and the constant score 0.5, per fold and pooled as fold ``all``."""
+    models = sorted({m for r in recipes.values() for m in check_recipe(r)})
+    wide = scores.groupBy("cookie_id", F.col("fold").cast("string").alias("fold"), "target").pivot("model", models).agg(F.first("score"))
+    every = F.array(*[F.struct(F.lit(name).alias("recipe"), blend_column(r).alias("score")) for name, r in recipes.items()], F.struct(F.lit("constant").alias("recipe"), F.lit(0.5).alias("score")))
+    folds = F.explode(F.array("fold", F.lit("all"))).alias("fold")
+    return wide.select("cookie_id", "fold", "target", F.explode(every).alias("r")).select("r.recipe", folds, "cookie_id", "target", "r.score")
+
+
 def gains(spark: SparkSession, models: dict, names: dict[str, list[str]]) -> DataFrame:
     """model, feature, gain of fitted models."""
     rows = [(m, names[m][int(i)], float(v)) for m, model in models.items() for i, v in zip(model.featureImportances.indices, model.featureImportances.values, strict=True)]

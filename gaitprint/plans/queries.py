@@ -72,25 +72,31 @@ def _rebuild(spark, d):
     return ensemble.differences(whole, _features(spark, d, only=test))
 
 
-QUICK = {n: s | {"maxIter": 2, "maxDepth": 2} for n, s in ensemble.SPECS.items() if n in ("base_shallow", "all_shallow")}
+def _labelled(spark, d):
+    return _features(spark, d).join(_train(spark, d).select("cookie_id", "target"), "cookie_id").persist()
 
 
-def _out_of_time(spark, d):
-    table = _features(spark, d).join(_train(spark, d).select("cookie_id", "target"), "cookie_id").persist()
-    return rounded(ensemble.out_of_time_scores(table, _roles(spark, d), QUICK), "cookie_id", "model", "fold", "target")
+def _scores(spark, d):
+    return ensemble.out_of_time_scores(_labelled(spark, d), _roles(spark, d))
+
+
+def _recipe_report(spark, d):
+    """Ranking measures of every recipe, per fold and pooled."""
+    return ranking.ranking_report(ensemble.recipe_scores(_scores(spark, d)).persist().withColumnRenamed("target", "y"), ["recipe", "fold"])
 
 
 def _importance(spark, d):
-    table = _features(spark, d, "base").join(_train(spark, d).select("cookie_id", "target"), "cookie_id").persist()
-    spec = QUICK["base_shallow"]
-    model = ensemble.fit_model(table, spec)
-    return rounded(ranking.importance(ensemble.gains(spark, {"m": model}, {"m": ensemble.feature_columns(table, "base")}), {"m": 1.0}), "feature")
+    """Weighted gains of the models of v2, each fitted on all labelled visitors."""
+    table, recipe = _labelled(spark, d), ensemble.RECIPES["v2"]
+    models = {m: ensemble.fit_model(table, ensemble.SPECS[m]) for m in recipe}
+    names = {m: ensemble.feature_columns(table, ensemble.SPECS[m]["families"]) for m in recipe}
+    return rounded(ranking.importance(ensemble.gains(spark, models, names), recipe), "feature")
 
 
 def _score_table(spark, d):
-    """Checks of a score table made from the blend: all counts are 0."""
-    scores = ensemble.blend(_two_scores(spark, d).fillna(0.0, ["b"]), {"a": 0.25, "b": 0.75}).select(F.col("doc_id").cast("string").alias("cookie_id"), F.col("doc_id").alias("row_ord"), "score")
-    return ensemble.score_violations(scores, scores)
+    """Checks of the out-of-time scores of v2 against the visitors that each fold is to score, the fold as their place: all counts are 0."""
+    scores = ensemble.recipe_scores(_scores(spark, d)).where("recipe = 'v2' AND fold <> 'all'").select("cookie_id", F.col("fold").cast("int").alias("row_ord"), "score").persist()
+    return ensemble.score_violations(scores, _roles(spark, d).where("role = 'valid'").select("cookie_id", F.col("fold").alias("row_ord")))
 
 
 def queries() -> dict[str, Query]:
@@ -117,7 +123,7 @@ def queries() -> dict[str, Query]:
     q["cookie_features_base"] = lambda s, d: rounded(_features(s, d, "base"), "cookie_id")
     q["cookie_features"] = lambda s, d: rounded(_features(s, d), "cookie_id")
     q["rebuild_difference"] = _rebuild
-    q["feature_fingerprint"] = lambda s, d: ensemble.fingerprint(rounded(_features(s, d, "base"), "cookie_id"), "cookie_id")
+    q["feature_fingerprint"] = lambda s, d: ensemble.fingerprint(rounded(_features(s, d), "cookie_id"), "cookie_id")
     q["pr_curve"] = lambda s, d: rounded(_curve(s, d).select("lang", "n", "pos", "k", "tp", "score", "precision", "recall"), "lang", "n", "pos", "k", "tp")
     q["precision_at_recall"] = lambda s, d: rounded(ranking.precision_at_recall(_curve(s, d), ["lang"]), "lang")
     q["recall_at_fpr"] = lambda s, d: rounded(ranking.recall_at_fpr(_curve(s, d), ["lang"]), "lang")
@@ -127,7 +133,9 @@ def queries() -> dict[str, Query]:
     q["time_folds"] = lambda s, d: _roles(s, d).select("cookie_id", "fold", "role")
     q["blend"] = lambda s, d: ensemble.blend(_two_scores(s, d), {"a": 0.25, "b": 0.75}).select("doc_id", F.round("score", 6).alias("score"))
     q["score_table"] = _score_table
-    q["out_of_time_scores"] = _out_of_time
+    q["out_of_time_scores"] = lambda s, d: rounded(_scores(s, d), "cookie_id", "model", "fold", "target")
+    q["recipe_report"] = lambda s, d: rounded(_recipe_report(s, d), "recipe", "fold", "n", "positives")
+    q["recipe_precision"] = lambda s, d: rounded(ranking.weighted_precision(_recipe_report(s, d).where("fold <> 'all'"), ["recipe"]), "recipe")
     q["importance"] = _importance
     return q
 

@@ -71,3 +71,30 @@ def test_score_table(spark):
 def test_importance(spark):
     gains = spark.createDataFrame([("m", "x", 3.0), ("m", "y", 1.0), ("n", "x", 1.0)], "model string, feature string, gain double")
     assert {r["feature"]: r["importance"] for r in ranking.importance(gains, {"m": 0.5, "n": 0.5}).collect()} == {"x": pytest.approx(0.875), "y": pytest.approx(0.125)}
+
+
+def test_recipes_per_fold_and_pooled(spark):
+    rows = [(c, fold, m, (i + k) / 10, i % 2) for i, (c, fold) in enumerate([("a", 1), ("b", 1), ("c", 2), ("d", 2)]) for k, m in enumerate(ensemble.SPECS)]
+    scores = spark.createDataFrame(rows, "cookie_id string, fold int, model string, score double, target int")
+    got = {(r["recipe"], r["fold"], r["cookie_id"]): r["score"] for r in ensemble.recipe_scores(scores).collect()}
+    assert len(got) == 3 * 2 * 4 and got["constant", "all", "a"] == 0.5
+    assert got["v1", "1", "b"] == pytest.approx(0.15) and got["v2", "2", "d"] == got["v2", "all", "d"] == pytest.approx(0.45)
+    report = ranking.ranking_report(ensemble.recipe_scores(scores).withColumnRenamed("target", "y"), ["recipe", "fold"]).collect()
+    assert {(r["recipe"], r["fold"], r["n"]) for r in report} == {(x, f, n) for x in ("v1", "v2", "constant") for f, n in (("1", 2), ("2", 2), ("all", 4))}
+
+
+def test_queries_use_whole_models(spark, monkeypatch):
+    from gaitprint.plans import queries
+
+    seen = []
+    table = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 1)], "cookie_id string, x double, target int")
+    monkeypatch.setattr(queries, "_features", lambda s, d, families="all", only=None: table.drop("target"))
+    monkeypatch.setattr(queries, "_train", lambda s, d, is_train=True: table)
+    monkeypatch.setattr(queries, "_roles", lambda s, d: spark.createDataFrame([("a", 1, "fit"), ("b", 1, "valid")], "cookie_id string, fold int, role string"))
+    monkeypatch.setattr(ensemble, "fit_model", lambda rows, spec: seen.append(spec))
+    monkeypatch.setattr(ensemble, "score_model", lambda model, rows, families: rows.select("cookie_id", F.lit(0.5).alias("score")))
+    monkeypatch.setattr(ensemble, "gains", lambda s, models, names: s.createDataFrame([(m, "x", 1.0) for m in models], "model string, feature string, gain double"))
+    q = queries.queries()
+    assert q["out_of_time_scores"](spark, "").count() == 4 and seen == list(ensemble.SPECS.values())
+    assert q["importance"](spark, "").first()["importance"] == 1 and seen == 2 * list(ensemble.SPECS.values())
+    assert tuple(q["score_table"](spark, "").first()) == (0, 0, 0, 0)
