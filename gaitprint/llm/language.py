@@ -14,15 +14,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitprint.llm.common import free_name, own_columns, slices
 
-#: Labelled rows that a model is fitted on at most (about), and languages it can tell apart at most.
-MAX_ROWS, MAX_LANGUAGES = 4096, 128
+#: Distinct labelled texts that a model is fitted on at most; one of each language at least, so more if there are more languages.
+MAX_ROWS = 4096
 #: Characters of one labelled row that the sample holds at most; a longer text gives an excerpt from a drawn place.
-#: So the sample is at most 2 * MAX_ROWS * SAMPLE_CHARS characters.  Predictions read whole texts.
+#: So the sample is at most max(MAX_ROWS, languages) * SAMPLE_CHARS characters.  Predictions read whole texts.
 SAMPLE_CHARS = 16_384
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE = 16, 16, 6, 1.0
 ORDERS = (2, 3, 4)
@@ -185,22 +185,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> Model | None:
-    """Train on about ``max_rows`` labelled rows at most, as many of each language as there are, chosen by a hash of the text.
+    """Train on ``max_rows`` distinct labelled texts at most, of each language an equal share or all it has (one at least), those of lowest hash.
 
     Only text and lang of rows that aren't :func:`held_out` are used.  None if no such row has both.
     """
     known = docs.select("text", "lang", held_out().alias("held")).where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    drawn = known.select("lang", F.xxhash64("text", F.lit(seed)).alias("draw")).distinct()
+    counts = drawn.groupBy("lang").count().agg(F.count(F.lit(1))).first()[0]
     if not counts:
         return None
-    each = max(1, max_rows // len(counts))
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (draw < int(min(1.0, each / row["count"]) * (1 << 30))))
+    each = max(1, max_rows // counts)
     start = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    some = known.where(wanted).select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
-    rows = some.distinct().limit(2 * max_rows).toPandas().sort_values(["lang", "text"])
+    # The texts of lowest hash: the bound of each language's draws comes from a sort of hashes within it, not of texts.
+    lowest = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= each).select("lang", "draw")
+    some = known.withColumn("draw", F.xxhash64("text", F.lit(seed))).join(F.broadcast(lowest), ["lang", "draw"], "left_semi").select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    rows = some.distinct().toPandas().sort_values(["lang", "text"])
     return train(rows["text"].tolist(), rows["lang"].tolist(), seed) if len(rows) else None
 
 

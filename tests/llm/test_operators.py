@@ -341,3 +341,16 @@ def test_language(spark):
     assert language.identify(docs.limit(0)).count() == 0
     unlabelled = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
+
+
+def test_language_learns_every_label_and_copies_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, labels, seed: seen.append(list(zip(labels, texts, strict=True))))
+    rows = [(4 * i, f"text {i} of {k}", f"l{k:03d}") for i, k in enumerate(list(range(150)) * 2)]
+    rows += [(i, f"copied {i % 3}", "copied") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language.held_out())
+    language.fit(docs, max_rows=604)
+    wanted = {(r["lang"], r["text"]) for r in docs.collect()}
+    assert len(seen[0]) == len(set(seen[0])) and set(seen[0]) == wanted
+    language.fit(docs, max_rows=10)
+    assert sorted(k for k, _ in seen[1]) == sorted({k for k, _ in wanted})
