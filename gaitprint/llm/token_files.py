@@ -113,8 +113,8 @@ def write_tokens(
     The row holds shard, folder, width (bytes of an id), n_docs, n_tokens and base.  ``folder`` must be one
     that every machine sees; a new one in the session's shared folder if none is given.  Nulls in doc_id
     come first, null and empty texts are documents of the end id alone, repeated rows are documents of
-    their own (ties by text), an empty table has no shards.  ``shards`` defaults to the session's shuffle
-    partitions.
+    their own (ties by a hash of the text, then the text), an empty table has no shards.  ``shards`` defaults
+    to the session's shuffle partitions.
     """
     spark = docs.sparkSession
     path = vocabulary or public_path(VOCABULARY)
@@ -138,11 +138,9 @@ def write_tokens(
             n_docs, n_tokens = out.close()
             yield pa.RecordBatch.from_pylist([{"shard": out.shard, "folder": folder, "width": width, "n_docs": n_docs, "n_tokens": n_tokens}], schema=_schema(_SHARDS))
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(shards, F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    )
+    # The hash lets a doc_id of very many rows (a null one, say) span shards.
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text").asc())
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, *order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
     written = stage_table(ordered.mapInArrow(write, _SHARDS), "shards")
     # One row per shard: the window's single task grows with the number of files, not with documents.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,13 +4,15 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gaitprint.llm import language, mixing, near_copies, packing, page_text, personal_data, telephony, token_counts, token_files, vector_search
+from gaitprint.llm import language, mixing, near_copies, packing, page_text, personal_data, telephony, token_counts, token_files, tokens, vector_search
 from gaitprint.llm.tokens import ColumnEncoder, public_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score int, component_id string"
@@ -30,19 +32,37 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def ids_of(name, text):
+    """What the tokenizers library itself makes of a text."""
+    return fresh(name).encode(text or "", add_special_tokens=False).ids
+
+
+@cache
+def fresh(name):
+    return Tokenizer.from_file(public_path(name))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_column_encoder_is_the_tokenizer(name):
+def test_column_encoder_is_the_tokenizer(name, monkeypatch):
     rng = random.Random(1)
+    special = "<|endoftext|>"
     texts = [*ODD, *("".join(rng.choice("ab É'.,\n\t 12#$") for _ in range(rng.randint(0, 40))) for _ in range(400))]
+    texts += [special, f"{special} hi", f"hi there{special}", f"a {special}{special} b\n{special}", special[:-1], special[:-1] + special, "x<|startoftext|>y", "W" * 100 + ".", "Z" * 70]
     coder = ColumnEncoder(public_path(name))
-    ids, at = coder.encode(pa.array(texts))
-    for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    for _ in range(2):  # new pieces, and pieces known before
+        ids, at = coder.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == ids_of(name, t), t
+    assert max(len(x) for x in coder.kept.names.to_pylist()) <= tokens.KEPT_LENGTH
+    # A worker that has seen too many pieces starts anew.
+    monkeypatch.setattr(tokens, "KEPT_PIECES", len(coder.kept.names) + 1)
+    ids, at = coder.encode(pa.array(["quite new words, never seen: zqx", "a"]))
+    assert ids.tolist() == ids_of(name, "quite new words, never seen: zqx") + ids_of(name, "a") and len(coder.kept.names) < 20
+    assert coder.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 def test_packing(spark):
     docs, rows = corpus(spark)
-    coder = ColumnEncoder(public_path(packing.VOCABULARY))
     got = packing.pack(docs).collect()
     whole = {}
     for r in got:
@@ -50,7 +70,7 @@ def test_packing(spark):
         whole.setdefault(r["doc_id"], []).append(r)
     assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
     for doc_id, text, *_ in rows:
-        ids = [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        ids = [*ids_of(packing.VOCABULARY, text), 1]
         own = sorted(whole[doc_id], key=lambda r: (r["start"], r["sequence_id"]))[:: 2 if doc_id == 20 else 1]
         assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in own]).tolist() == ids and own[0]["doc_tokens"] == len(ids)
     assert packing.pack(empty(spark)).count() == 0
@@ -60,11 +80,10 @@ def test_packing(spark):
 
 def test_token_files(spark, tmp_path):
     docs, rows = corpus(spark)
-    coder = ColumnEncoder(public_path(token_files.VOCABULARY))
     got = token_files.read_tokens(token_files.write_tokens(docs, f"file://{tmp_path}/x", shards=3), with_ids=True).orderBy("start").collect()
     at = 0
     for r, (doc_id, text, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
-        ids = [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*ids_of(token_files.VOCABULARY, text), 0]
         assert r["doc_id"] == doc_id and r["start"] == at and r["n_tokens"] == len(ids)
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
@@ -73,8 +92,7 @@ def test_token_files(spark, tmp_path):
 
 def test_token_counts(spark):
     docs, rows = corpus(spark)
-    coder = ColumnEncoder(public_path(token_counts.VOCABULARY))
-    lengths = [len(coder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    lengths = [len(ids_of(token_counts.VOCABULARY, r[1])) for r in rows]
     totals = token_counts.context_totals(token_counts.length_histogram(docs)).persist()
     for r in totals.collect():
         limit = r["n_tokens"]
