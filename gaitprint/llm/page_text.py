@@ -51,16 +51,24 @@ _MAIN = frozenset(("article", "main"))
 #: Elements that hold no more than the page itself, and those below them that can be a slot's container.
 _PAGE = frozenset(("", "html", "body"))
 _CONTAINERS = frozenset(("div", "section", "center"))
-#: Words of a class, id or role that mark a block as something other than the article.
+#: Words that mark a block as something other than the article, where one name of its class, id or role is made of
+#: such words and of words about layout alone ("share-bar", but not "share-price").
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
     " menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related search share sharing"
     " sidebar signup social sponsor sponsored subscribe toolbar widget masthead contentinfo complementary".split()
 )
+_LAYOUT = frozenset(
+    "area article articles bar blog block bottom box button buttons center column container content form frame global google group icons inner item items"
+    " left link links list main media message module outer page panel post posts reader readers right root row section shell site slot space stories story"
+    " text thread top unit user users wrap wrapper zone".split()
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Where a raw element ends, whatever the case of its name.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in _RAW}
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -68,18 +76,20 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def _marked(attributes: str) -> bool:
     for _, value in _ATTRIBUTE.findall(attributes):
-        if any(w.lower() in _MARKS for w in _WORDS.findall(value)):
-            return True
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if not _MARKS.isdisjoint(words) and all(w in _MARKS or w in _LAYOUT for w in words):
+                return True
     return False
 
 
 class Block:
-    """A run of text: its slot's container (0 is the page), where it belongs (article, other or neither), its token, and the text itself."""
+    """A run of text: its slot's container (0 is the page), where it belongs (article, other by its element or by a mark, or neither), its token, and the text itself."""
 
-    __slots__ = ("main", "other", "slot", "text", "token")
+    __slots__ = ("main", "marked", "other", "slot", "text", "token")
 
-    def __init__(self, token: int, slot: int, main: bool, other: bool, text: str):
-        self.token, self.slot, self.main, self.other, self.text = token, slot, main, other, text
+    def __init__(self, token: int, slot: int, main: bool, other: bool, marked: bool, text: str):
+        self.token, self.slot, self.main, self.other, self.marked, self.text = token, slot, main, other, marked, text
 
 
 def _token(path: int, text: str) -> int:
@@ -91,13 +101,10 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     """A page's blocks in order, and how often each of its tokens (hashed with their paths) occurs."""
     blocks: list[Block] = []
     tokens: Counter = Counter()
-    # Of each open block: name, path hash, lies in an article, lies in something else.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # Of each open block: name, path hash, lies in an article, lies in something else, lies in something marked.
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     held: list[str] = []
     at, end = 0, len(page)
-    lower = page.lower()
-    if len(lower) != end:  # a letter whose small form is longer would shift places
-        lower = page
     quoted = True
 
     def close_block() -> None:
@@ -109,7 +116,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                 outer = next((x for x in stack if x[0] not in _PAGE), stack[0])
                 slot = outer[1] if outer[0] in _CONTAINERS else 0
                 token = _token(top[1], text)
-                blocks.append(Block(token, slot, top[2], top[3], text))
+                blocks.append(Block(token, slot, *top[2:], text))
                 tokens[token] += 1
 
     while at < end:
@@ -144,9 +151,9 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if name in _RAW and not closing:
             if attributes.endswith("/"):
                 continue
-            close = lower.find(f"</{name}", at)
+            close = _RAW_END[name].search(page, at)
             close_block()
-            gt = page.find(">", close) if close >= 0 else -1
+            gt = page.find(">", close.start()) if close else -1
             at = end if gt < 0 else gt + 1
             continue
         if name == "br":
@@ -165,11 +172,14 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             continue
         if stack[-1][0] in _LEAVES and (name in _LEAVES or stack[-1][0] == "p"):
             stack.pop()  # a paragraph or item that was left open ends where the next block begins
-        _, path, main, other = stack[-1]
+        _, path, main, other, marked = stack[-1]
         path = xxhash.xxh64_intdigest(name, path) >> 1
         if name in _MAIN:
-            main, other = True, other and not main
-        stack.append((name, path, main, other or name in _OTHER or (name == "header" and not main) or (name not in ("html", "body") and _marked(attributes))))
+            if other and not main:  # a form around the whole page is no form of the page
+                other = any(x[0] in _OTHER and x[0] != "form" or x[0] == "header" for x in stack)
+            main = True
+        other = other or name in _OTHER or (name == "header" and not main)
+        stack.append((name, path, main, other, marked or (name not in ("html", "body") and _marked(attributes))))
         tokens[path] += 1
     close_block()
     return blocks, tokens
@@ -182,6 +192,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     """The blocks of a page that hold its main text, joined by empty lines; ``template`` are its host's template tokens."""
     blocks, _ = parse(page or "")
     free = [b for b in blocks if not b.other and b.token not in template]
+    free = [b for b in free if not b.marked] or free  # a page that marks all it has marks nothing
     size: Counter = Counter()
     for b in free:
         if not b.main:
@@ -210,7 +221,7 @@ def templates(pages: DataFrame) -> DataFrame:
             contents, wholes, tokens = [], [], []
             for text in batch.column(1).to_pylist():
                 blocks, found = parse(text)
-                contents.append(xxhash.xxh64_intdigest(b"".join(b.token.to_bytes(8, "little") for b in blocks if not b.other)) >> 1)
+                contents.append(xxhash.xxh64_intdigest(b"".join(b.token.to_bytes(8, "little") for b in blocks if not (b.other or b.marked))) >> 1)
                 tokens.append([*sorted(found.items()), (ANY, 1)])
                 wholes.append(xxhash.xxh64_intdigest(repr(tokens[-1])) >> 1)
             yield pa.RecordBatch.from_arrays(
