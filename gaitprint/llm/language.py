@@ -31,6 +31,8 @@ REJECTED_SHARE = 0.0005
 UNKNOWN = "und"
 #: Characters hashed at a time.
 STEP = 1 << 20
+#: A model's scores are whole multiples of this, so that their sums are exact however texts share a batch.
+UNIT = 2.0**-18
 
 
 @cache
@@ -70,7 +72,7 @@ def subwords(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Scores of a bucket for each language (embedding and softmax weights in one), and the calibration."""
+    """Scores of a bucket for each language in UNITs (embedding and softmax weights in one), and the calibration."""
 
     languages: list[str]
     weights: np.ndarray
@@ -81,7 +83,7 @@ class Model:
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean score per text and language, and how many subwords each text has."""
         points, starts = code_points(texts)
-        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        sums, counts = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
         for lo in range(0, len(points), STEP):
             part = points[lo : lo + STEP + max(ORDERS) - 1]
             first = int(np.searchsorted(starts, lo, side="right")) - 1
@@ -99,8 +101,8 @@ class Model:
                 if len(bucket):
                     full = np.flatnonzero(np.diff(edges))
                     for k in range(len(self.languages)):
-                        sums[first + full, k] += np.add.reduceat(self.weights[k][bucket], edges[full])
-        return sums / np.maximum(counts, 1)[:, None] + self.bias, counts
+                        sums[first + full, k] += np.add.reduceat(self.weights[k][bucket], edges[full], dtype=np.int64)
+        return sums * UNIT / np.maximum(counts, 1)[:, None] + self.bias, counts
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: place of its language (-1 without letters), calibrated score, and whether it is rejected."""
@@ -161,7 +163,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             bias -= 0.1 * rate * g
             # Shares are small; scaled so that a text moves its subwords by about as much as a short one does.
             e[ids] -= rate * np.sqrt(len(ids)) * share[:, None] * back[None, :]
-    model = Model(languages, np.ascontiguousarray((e @ w).T.astype(np.float32)), bias)
+    model = Model(languages, np.ascontiguousarray(np.clip(np.round((e @ w).T / UNIT), -(2**31), 2**31 - 1).astype(np.int32)), bias)
     if check:
         column = pa.array([t for t, _ in check])
         truth = np.array([k for _, k in check])
@@ -212,7 +214,8 @@ def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str,
     partition stay.
     """
     model = model or fit(docs)
-    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    names_ = {x.lower() for x in names}
+    kept = [c for c in docs.columns if c.lower() not in names_]
     base = docs.select(*[c for c, name in zip(own_columns(docs), docs.columns, strict=True) if name in kept])
     if model is None:
         return base.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True)), strict=True)))
@@ -236,6 +239,14 @@ def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str,
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with their own columns."""
+    """The rows of ``docs`` that aren't rejected, with their own columns.
+
+    Rows without letters go, whatever is learnt.  Where no row has a text and a language to learn from, no
+    language can be told from another, and all others stay.  Null doc_ids and repeated rows are rows like
+    others; an empty table stays empty.
+    """
     names = tuple(free_name(docs, x) for x in ("lang_pred", "score", "rejected"))
-    return identify(docs, model or fit(docs), names).where(~F.col(names[2])).select(*own_columns(docs))
+    model = model or fit(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    return identify(docs, model, names).where(~F.col(names[2])).select(*own_columns(docs))
