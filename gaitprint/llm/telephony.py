@@ -115,15 +115,21 @@ def wav(body: bytes, kind: int, rate: int = RATE, samples: int | None = None) ->
 
 
 def unwrap(media: bytes) -> tuple[int, int, int, memoryview]:
-    """Format, rate, block size and coded bytes of a WAV file."""
+    """Format, rate, block size and coded bytes of a WAV file; a ValueError says what is wrong with it."""
     view, at, found = memoryview(media), 12, {}
     if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
         raise ValueError("not a WAV file")
     while at + 8 <= len(view):
         name, size = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
         found[name] = view[at + 8 : at + 8 + size]
+        if len(found[name]) < size:
+            raise ValueError("a chunk ends early")
         at += 8 + size + size % 2
-    kind, _, rate, _, align, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    if len(found.get(b"fmt ", b"")) < 16 or b"data" not in found:
+        raise ValueError("no format or no data")
+    kind, channels, rate, _, align, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    if channels != 1 or not align:
+        raise ValueError("not one channel, or no block size")
     return kind, rate, align, found[b"data"]
 
 
@@ -136,8 +142,12 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
     if kind == ALAW:
         return alaw_table()[raw], rate
     if kind == ADPCM:
-        return decode_adpcm(raw[: len(raw) // align * align].reshape(-1, align)).ravel(), rate
+        if align < 4 or len(raw) % align:
+            raise ValueError("a block ends early")
+        return decode_adpcm(raw.reshape(-1, align)).ravel(), rate
     if kind == PCM:
+        if len(raw) % 2:
+            raise ValueError("a sample ends early")
         return raw.view("<i2").astype(np.int16), rate
     raise ValueError(f"unknown format {kind}")
 
@@ -201,24 +211,32 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def resampled(media: DataFrame) -> DataFrame:
-    """``media`` (doc_id, media) with ``pcm``: a 16-bit WAV at twice the rate of each recording (null stays null)."""
+    """``media`` (doc_id, media) with ``pcm``, a 16-bit WAV at twice the rate of each recording, and ``error``.
+
+    A null recording has a null pcm and no error; of one that can't be read pcm is null and error says why.
+    Null doc_ids and repeated rows stay; an empty table gives no rows.
+    """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 2 << 20):
-            out = []
+            out, errors = [], []
             for m in batch.column(1).to_pylist():
-                if m is None:
-                    out.append(None)
-                    continue
-                pcm, rate = to_pcm(m)
-                out.append(wav(double_rate(pcm, np.array([0, len(pcm)])).astype("<i2").tobytes(), PCM, 2 * rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "pcm"])
+                made, error = None, None
+                try:
+                    if m is not None:
+                        pcm, rate = to_pcm(m)
+                        made = wav(double_rate(pcm, np.array([0, len(pcm)])).astype("<i2").tobytes(), PCM, 2 * rate)
+                except ValueError as e:
+                    error = str(e)
+                out.append(made)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "pcm", "error"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(convert, "doc_id long, pcm binary")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(convert, "doc_id long, pcm binary, error string")
 
 
 def store_resampled(media: DataFrame, path: str) -> None:
-    """Write :func:`resampled` as Parquet."""
+    """Write :func:`resampled` as Parquet at ``path``."""
     resampled(media).write.option("compression", "zstd").parquet(path)
 
 
@@ -228,7 +246,8 @@ _DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 def describe(media: DataFrame) -> DataFrame:
     """Digests and features of stored 8-bit recordings (doc_id, n_bytes, media).
 
-    feature joins what each decoder makes of the stored bytes: mu-law resampled to 16 kHz, A-law at 8 kHz
+    Rows are what :func:`encode_media` stored: media is never null there, null doc_ids and repeated rows stay,
+    an empty table gives no rows.  feature joins what each decoder makes of the stored bytes: mu-law resampled to 16 kHz, A-law at 8 kHz
     and ADPCM in blocks of 192 bytes, as name:samples:rms:peak:sign changes:crc32 of the PCM.
     """
 
@@ -262,5 +281,5 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def store_and_describe(docs: DataFrame) -> DataFrame:
-    """Store every text as a recording in the shared folder, read it back and describe it."""
+    """Store every text (null: empty) as a recording in the shared folder, read it back and describe it (:func:`describe`)."""
     return describe(stage_table(encode_media(docs), "media"))

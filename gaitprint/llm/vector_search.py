@@ -42,12 +42,16 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one, in double precision, without overflow for large components."""
-    x = np.asarray(x, dtype=np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows scaled to length one, in double precision."""
+    x = scaled(np.asarray(x, dtype=np.float64))
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component below one: squares neither over- nor underflow, and digits stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Spherical k-means over unit rows."""
     rng = np.random.default_rng(seed)
@@ -214,6 +218,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
         other = qid[i] != vid[j]
         i, j = i[other], j[other]
         score = np.empty(len(i))
+        q, v = scaled(q), scaled(v)
         qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
         for lo in range(0, len(i), 65_536):
             a, b = i[lo : lo + 65_536], j[lo : lo + 65_536]
