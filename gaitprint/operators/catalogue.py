@@ -37,8 +37,10 @@ SPREAD = ("item_id", "item_category", "item_location", "seller_type", "search_qu
 BUCKETS = ("hour", "minute_bucket", "five_minute_bucket")
 PRESENT = ("item_id", "item_category", "item_location", "seller_type", "search_query", "search_page", "pointer_x", "pointer_y")
 
+#: Columns whose numbers are summarised as they are.
+MEASURED = ("search_page", "pointer_x", "pointer_y")
 #: Families of single values: the rows, and the value as text.
-VALUES: dict[str, tuple[str, str]] = {c: (f"{c} IS NOT NULL", f"CAST({c} AS string)") for c in (*SPREAD, *BUCKETS)}
+VALUES: dict[str, tuple[str, str]] = {c: (f"{c} IS NOT NULL", f"CAST({c} AS string)") for c in (*SPREAD, *BUCKETS, *MEASURED)}
 #: Families of numbers in order: the rows, and the number.
 NUMBERS: dict[str, tuple[str, str]] = {
     "gap": ("gap IS NOT NULL", "gap"),
@@ -52,7 +54,7 @@ NUMBERS: dict[str, tuple[str, str]] = {
     "cadence_searches": (f"{ACTIONS['searches']} AND t - ls.t <= {SESSION}", "t - ls.t"),
     "cadence_contacts": (f"{ACTIONS['contacts']} AND t - lc <= {SESSION}", "t - lc"),
     "pointer_step": ("dt > 0", "len"),
-}
+} | {c: (f"{c} IS NOT NULL", c) for c in MEASURED}
 CADENCES = ("cadence_all", "cadence_views", "cadence_searches", "cadence_contacts", "pointer_step")
 VALUES |= {
     "gap": ("gap IS NOT NULL", "CAST(gap AS string)"),
@@ -79,8 +81,8 @@ def share(condition: str, of: str | None = None) -> str:
     return f"avg({hit})" if of is None else f"avg(CASE WHEN {of} THEN {hit} END)"
 
 
-def scalars(percentile) -> dict[str, str]:
-    """Aggregates of a visitor's rows."""
+def scalars() -> dict[str, str]:
+    """Aggregates of a visitor's rows; none of them holds more than a few numbers."""
     out = {"n_events": "count(*)"}
     for e in EVENT_TYPES:
         out[f"event_{e}_count"] = f"sum(CASE WHEN event_name = '{e}' THEN 1 ELSE 0 END)"
@@ -89,11 +91,8 @@ def scalars(percentile) -> dict[str, str]:
     out |= {f"{c}_{v}_share": share(f"{c} = '{v}'") for c, vs in LEVELS.items() for v in vs}
     out |= {"ua_automated_share": share("ua_automated"), "ua_platform_mismatch_share": share("mismatch")}
     out |= {f"web_{c}_present_share": share(f"{c} IS NOT NULL", "platform = 'web'") for c in ("pointer_x", "pointer_y")}
-    for c in ("search_page", "pointer_x", "pointer_y"):
-        out |= {
-            f"{c}_mean": f"avg({c})", f"{c}_std": f"stddev_samp({c})", f"{c}_min": f"min({c})", f"{c}_max": f"max({c})",
-            f"{c}_median": percentile(c, 0.5), f"{c}_nunique": f"count(DISTINCT {c})", f"{c}_range": f"max({c}) - min({c})",
-        }
+    for c in MEASURED:
+        out |= {f"{c}_mean": f"avg({c})", f"{c}_std": f"stddev_samp({c})", f"{c}_min": f"min({c})", f"{c}_max": f"max({c})", f"{c}_range": f"max({c}) - min({c})"}
     out |= {
         "search_first_page_share": share("search_page = 1"), "search_deep_page_share": share("search_page > 3"), "night_event_share": share("hour < 6"),
         "contact_event_share": share("substr(event_name, 1, 8) = 'contact_'", "event_name IS NOT NULL"),
@@ -142,7 +141,7 @@ TURN_SCALARS = {"v2_pointer_turn_cosine_mean": "avg(cosine)", "v2_pointer_direct
 
 def features() -> tuple[dict[str, str], dict[str, str]]:
     """(base, v2): each feature's name and expression, before the last fills."""
-    by_name = scalars(lambda c, q: "")
+    by_name = scalars()
     base: dict[str, str] = {"n_events": "n_events"}
     for e in EVENT_TYPES:
         base |= {f"event_{e}_{s}": f"event_{e}_{s}" for s in ("count", "share")}
@@ -150,7 +149,11 @@ def features() -> tuple[dict[str, str], dict[str, str]]:
         base |= {f"{c}_nunique": f"{c}__k", f"{c}_top_share": f"{c}__top / {c}__n", f"{c}_entropy": f"{c}__entropy", f"{c}_concentration": f"{c}__hhi"}
     start = list(by_name).index("item_id_present_share")
     end = list(by_name).index("gap_le_0_share")
-    base |= {n: n for n in list(by_name)[start:end]}
+    for n in list(by_name)[start:end]:
+        base[n] = n
+        for c in MEASURED:
+            if n == f"{c}_max":
+                base |= {f"{c}_median": f"{c}__median", f"{c}_nunique": f"{c}__k"}
     for c in BUCKETS:
         base |= {f"{c}_active_count": f"{c}__k", f"{c}_events_max": f"{c}__top", f"{c}_events_mean": f"{c}__n / {c}__k", f"{c}_top_share": f"{c}__top / n_events", f"{c}_entropy": f"{c}__entropy"}
     six = lambda fam, name=None: {f"{name or fam}_{s}": f"{fam}__{s}" for s in S6}

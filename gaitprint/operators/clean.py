@@ -11,7 +11,7 @@ from gaitprint.functions import text
 from gaitprint.sources.tables import EVENT_COLUMNS, META_TIMES
 
 LABELS = ("event_name", "item_category", "item_location", "seller_type")
-#: The canonical order of a visitor's events; nulls come last.
+# The canonical order of a visitor's events (nulls come last), and the names of the audit's counters below.
 ORDER = ("event_ts", "event_name", "item_id", "search_page", "platform", "user_agent", "pointer_x", "pointer_y", "item_category", "item_location", "seller_type", "search_query", "eid")
 
 
@@ -58,8 +58,12 @@ def check_inputs(train: DataFrame, test: DataFrame, events: DataFrame) -> None:
     late = train.agg(F.max("window_end_ts").alias("a")).crossJoin(test.agg(F.min("window_start_ts").alias("b")))  # one row each
     require(late.select((F.col("a") > F.col("b")).cast("int").alias("train_ends_after_test_starts")))
     require(events.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("cookie_id", "event_ts", "event_name")]))
-    meta = train.select("cookie_id").union(test.select("cookie_id"))
-    require(unknown_cookies(events, meta).agg(F.count(F.lit(1)).alias("unknown_cookies")))
+    require(unknown_cookies(events, all_cookies(train, test)).agg(F.count(F.lit(1)).alias("unknown_cookies")))
+
+
+def all_cookies(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The metadata of both tables; targets and places stay out, so that no feature can see them."""
+    return train.select("cookie_id", *META_TIMES).unionByName(test.select("cookie_id", *META_TIMES))
 
 
 def in_window(events: DataFrame, meta: DataFrame) -> DataFrame:
@@ -68,9 +72,14 @@ def in_window(events: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.where("event_ts >= window_start_ts AND event_ts < window_end_ts")
 
 
-def clean_events(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """Window, exact duplicates, normal forms, and ``rn``: each event's place in its visitor's canonical order."""
-    distinct = in_window(events, meta).repartition("cookie_id").dropDuplicates(list(EVENT_COLUMNS))
+def clean_events(events: DataFrame, meta: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Window, exact duplicates, normal forms, and ``rn``: each event's place in its visitor's canonical order.
+
+    The log is hashed by visitor once, into ``partitions`` if given, and stays so.
+    """
+    inside = in_window(events, meta)
+    hashed = inside.repartition(partitions, "cookie_id") if partitions else inside.repartition("cookie_id")
+    distinct = hashed.dropDuplicates(list(EVENT_COLUMNS))
     plain = distinct.withColumns(
         {c: text.label(c) for c in LABELS} | {"platform": text.platform(), "search_query": text.query(), "user_agent": text.user_agent()}
     )
@@ -92,10 +101,10 @@ def audit(events: DataFrame, meta: DataFrame) -> DataFrame:
     joined = events.select(*EVENT_COLUMNS).join(meta.select("cookie_id", *META_TIMES), "cookie_id")
     inside = (F.col("event_ts") >= F.col("window_start_ts")) & (F.col("event_ts") < F.col("window_end_ts"))
     # Rows are first counted per distinct event, so that no task counts distinct rows of the whole log.
-    each = joined.groupBy(*EVENT_COLUMNS, *META_TIMES).agg(F.count(F.lit(1)).alias("c"))
-    each = each.withColumn("inside", inside)
+    each = joined.groupBy(*EVENT_COLUMNS, *META_TIMES).agg(F.count(F.lit(1)).alias("c")).withColumn("inside", inside)
+    # Sums per visitor first: visitors without events then come from one row per visitor, and the log is read once.
     one = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
-    counters = each.agg(
+    per_visitor = each.groupBy("cookie_id").agg(
         F.sum("c").alias("raw_events"),
         (F.sum("c") - F.count(F.lit(1))).alias("raw_exact_duplicates"),
         one(F.col("event_ts") < F.col("window_start_ts")).alias("events_before_window"),
@@ -105,10 +114,10 @@ def audit(events: DataFrame, meta: DataFrame) -> DataFrame:
         one(F.col("inside") & (F.col("event_ts") < F.col("cookie_created_at"))).alias("events_before_cookie_creation_in_window"),
         F.count_if("inside").alias("usable_events"),
     )
-    names = counters.columns
-    long = counters.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in names])).alias("x"))
-    empty = meta.join(each.where("inside"), "cookie_id", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cookies_without_events").alias("key"), "value")
-    return long.select("x.key", "x.value").union(empty)
+    names = per_visitor.columns[1:]
+    all_ = meta.select("cookie_id").join(per_visitor, "cookie_id", "left")
+    counters = all_.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(F.coalesce("usable_events", F.lit(0)) == 0).alias("cookies_without_events"))
+    return counters.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in counters.columns])).alias("x")).select("x.key", "x.value")
 
 
 def null_fractions(events: DataFrame) -> DataFrame:

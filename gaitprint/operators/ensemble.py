@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +62,43 @@ def fit_model(rows: DataFrame, spec: dict):
     return GBTClassifier(labelCol="target", featuresCol="features", seed=SEED, maxBins=32, **params).fit(assembled(rows, spec["families"]).withColumn("target", F.col("target").cast("double")))
 
 
-def score_model(model, rows: DataFrame, families: str) -> DataFrame:
-    """cookie_id and the probability of class 1."""
-    return model.transform(assembled(rows, families)).select("cookie_id", vector_to_array("probability")[1].alias("score"))
+def fit_models(rows: DataFrame, specs: dict = SPECS, folder: str | None = None) -> dict:
+    """One model per spec, fitted on all of ``rows`` (features and target); saved below ``folder`` if one is given."""
+    models = {name: fit_model(rows, spec) for name, spec in specs.items()}
+    for name, model in models.items() if folder else ():
+        model.write().overwrite().save(f"{folder}/{name}")
+    return models
+
+
+def load_models(folder: str, specs: dict = SPECS) -> dict:
+    return {name: GBTClassificationModel.load(f"{folder}/{name}") for name in specs}
+
+
+def model_scores(models: dict, rows: DataFrame, specs: dict = SPECS) -> DataFrame:
+    """``rows`` with the features' place taken by each model's probability of class 1, in a column of its name; nothing is joined."""
+    kept = [c for c in ("cookie_id", "row_ord", "target") if c in rows.columns]
+    for families in sorted({specs[m]["families"] for m in models}):
+        rows = VectorAssembler(inputCols=feature_columns(rows.select(*[c for c in rows.columns if not c.startswith("vector_")]), families), outputCol=f"vector_{families}").transform(rows)
+    rows = rows.select(*kept, *[c for c in rows.columns if c.startswith("vector_")])
+    for name, model in models.items():
+        scored = model.copy().setFeaturesCol(f"vector_{specs[name]['families']}").setProbabilityCol("p_").setRawPredictionCol("r_").setPredictionCol("c_").transform(rows)
+        rows = scored.withColumn(name, vector_to_array("p_")[1]).drop("p_", "r_", "c_")
+    return rows.select(*kept, *models)
+
+
+def score_all(models: dict, rows: DataFrame, recipe, specs: dict = SPECS) -> DataFrame:
+    """cookie_id, row_ord and score: a recipe's blend of the models' scores of every row."""
+    return blend(model_scores(models, rows, specs), recipe).select("cookie_id", "row_ord", "score")
+
+
+def split_back(features: DataFrame, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of train visitors with row_ord and target, and of test visitors with row_ord; fails if a visitor has none."""
+    out = []
+    for own in (train.select("cookie_id", "row_ord", "target"), test.select("cookie_id", "row_ord")):
+        if own.join(features.select("cookie_id"), "cookie_id", "left_anti").limit(1).count():
+            raise ValueError("visitors without features")
+        out.append(own.join(features, "cookie_id"))
+    return out[0], out[1]
 
 
 def check_recipe(recipe) -> dict[str, float]:
@@ -99,12 +133,12 @@ def out_of_time_scores(table: DataFrame, roles: DataFrame, specs: dict = SPECS)
     """cookie_id, fold, model, score, target: each model fitted on a fold's fit rows and applied to its valid rows."""
     out = None
     for (fold,) in roles.select("fold").distinct().orderBy("fold").collect():  # a handful of folds
-        own = table.join(roles.where(F.col("fold") == fold).select("cookie_id", "role"), "cookie_id").persist()
-        valid = own.where("role = 'valid'").drop("role")
-        for name, spec in specs.items():
-            model = fit_model(own.where("role = 'fit'").drop("role"), spec)
-            part = score_model(model, valid, spec["families"]).join(valid.select("cookie_id", "target"), "cookie_id").select("cookie_id", F.lit(fold).alias("fold"), F.lit(name).alias("model"), "score", "target")
-            out = part if out is None else out.unionByName(part)
+        own = table.join(roles.where(F.col("fold") == fold).select("cookie_id", "role"), "cookie_id")
+        models = fit_models(own.where("role = 'fit'").drop("role"), specs)
+        wide = model_scores(models, own.where("role = 'valid'").drop("role"), specs)
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("m")
+        part = wide.select("cookie_id", F.lit(fold).alias("fold"), "target", each).select("cookie_id", "fold", "m.model", "m.score", "target")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -137,12 +171,17 @@ def fingerprint(table: DataFrame, order: str) -> DataFrame:
     return table.agg(F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("total"), F.count(F.lit(1)).alias("rows"))
 
 
-def differences(a: DataFrame, b: DataFrame, key: str = "cookie_id", tolerance: float = 1e-9) -> DataFrame:
-    """Keys on one side only, and keys with any column further apart than ``tolerance``."""
+def compared(a: DataFrame, b: DataFrame, key: str = "cookie_id", tolerance: float = 1e-9) -> DataFrame:
+    """key and differing: how many columns of its rows lie further apart than ``tolerance`` (null for keys on one side only)."""
     if a.columns != b.columns:
         raise ValueError("columns differ")
     names = [c for c in a.columns if c != key]
     left = a.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
     right = b.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("y"))
-    apart = F.exists(F.zip_with("x", "y", lambda p, q: ~p.eqNullSafe(q) & ~F.coalesce(F.abs(p - q) <= tolerance, F.lit(False))), lambda z: z)
-    return left.join(right, key, "full_outer").where(F.col("x").isNull() | F.col("y").isNull() | apart).select(key)
+    apart = F.filter(F.zip_with("x", "y", lambda p, q: ~p.eqNullSafe(q) & ~F.coalesce(F.abs(p - q) <= tolerance, F.lit(False))), lambda z: z)
+    return left.join(right, key, "full_outer").select(key, F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(apart)).alias("differing"))
+
+
+def differences(a: DataFrame, b: DataFrame, key: str = "cookie_id", tolerance: float = 1e-9) -> DataFrame:
+    """Keys on one side only, and keys with any column further apart than ``tolerance``."""
+    return compared(a, b, key, tolerance).where("differing IS NULL OR differing > 0").select(key)

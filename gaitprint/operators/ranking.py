@@ -16,53 +16,55 @@ def check_scores(scored: DataFrame, keys: list[str]) -> None:
         raise ValueError("scores or targets are not valid for some key")
 
 
-def pr_curve(scored: DataFrame, keys: list[str]) -> DataFrame:
+def pr_curve(scored: DataFrame, keys: list[str], complete: bool = False) -> DataFrame:
     """keys, score, n, pos (of the tie group), k, tp (down to it), p, total (in all), precision, recall.
 
     ``scored`` has y (0/1) and score.  Ties are collapsed before any order is needed, so the window holds
-    distinct scores of a key only.  Keys without positives give no rows.
+    distinct scores of a key only.  Keys without positives give no rows, or, if the curve is to be ``complete``,
+    rows whose precision and recall are null.
     """
     ties = scored.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("pos"))
     down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     curve = ties.select(*keys, "score", "n", "pos", F.sum("n").over(down).alias("k"), F.sum("pos").over(down).alias("tp"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("total"))
-    return curve.where("p > 0").withColumns({"precision": F.col("tp") / F.col("k"), "recall": F.col("tp") / F.col("p")})
+    curve = curve.withColumns({"precision": F.when(F.col("p") > 0, F.col("tp") / F.col("k")), "recall": F.try_divide("tp", "p")})
+    return curve if complete else curve.where("p > 0")
 
 
 def precision_at_recall(curve: DataFrame, keys: list[str], recall: float = TARGET_RECALL) -> DataFrame:
-    """The best precision over all thresholds that reach the recall."""
-    return curve.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("recall") >= recall, F.col("precision"))), F.lit(0.0)).alias("precision_at_recall"))
+    """The best precision over all thresholds that reach the recall (null without positives)."""
+    best = F.coalesce(F.max(F.when(F.col("recall") >= recall, F.col("precision"))), F.lit(0.0))
+    return curve.groupBy(*keys).agg(F.when(F.max("p") > 0, best).alias("precision_at_recall"))
 
 
 def recall_at_fpr(curve: DataFrame, keys: list[str], fpr: float = MAX_FPR) -> DataFrame:
-    """The best recall over all thresholds whose false positives stay within the rate (null without negatives)."""
+    """The best recall over all thresholds whose false positives stay within the rate (null if a class is missing)."""
     within = (F.col("k") - F.col("tp")) <= fpr * (F.col("total") - F.col("p"))
     best = F.coalesce(F.max(F.when(within, F.col("recall"))), F.lit(0.0))
-    return curve.groupBy(*keys).agg(F.when(F.max(F.col("total") - F.col("p")) > 0, best).alias("recall_at_fpr"))
+    return curve.groupBy(*keys).agg(F.when((F.max("p") > 0) & (F.max(F.col("total") - F.col("p")) > 0), best).alias("recall_at_fpr"))
 
 
 def operating_point(curve: DataFrame, keys: list[str], recall: float = TARGET_RECALL) -> DataFrame:
-    """threshold, tp, fp, fn, tn at the best precision that reaches the recall; of equals the larger recall."""
-    best = F.max_by(F.struct("score", "k", "tp", "p", "total"), F.struct("precision", "recall"))
+    """threshold, tp, fp, fn, tn at the best precision that reaches the recall; of equals the larger recall (all null without positives)."""
+    best = F.max_by(F.struct("score", "k", "tp", "p", "total"), F.when(F.col("recall") >= recall, F.struct("precision", "recall")))
     return (
-        curve.where(F.col("recall") >= recall)
-        .groupBy(*keys)
+        curve.groupBy(*keys)
         .agg(best.alias("b"))
         .selectExpr(*keys, "b.score AS threshold", "b.tp AS tp", "b.k - b.tp AS fp", "b.p - b.tp AS fn", "b.total - b.p - (b.k - b.tp) AS tn")
     )
 
 
 def areas(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """average_precision (over tie groups) and roc_auc (ties counted half; null without negatives)."""
+    """average_precision (over tie groups; null without positives) and roc_auc (ties counted half; null if a class is missing)."""
     return curve.groupBy(*keys).agg(
-        F.sum(F.col("pos") / F.col("p") * F.col("precision")).alias("average_precision"),
+        F.sum(F.try_divide("pos", "p") * F.col("precision")).alias("average_precision"),
         F.expr("sum((n - pos) * (tp - pos + pos / 2.0D)) / nullif(max(p) * max(total - p), 0)").alias("roc_auc"),
     )
 
 
 def ranking_report(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """n, positives, fraction and all measures for each key."""
-    curve = pr_curve(scored, keys)
+    """n, positives, fraction and all measures for each key; what needs a class that a key lacks is null."""
+    curve = pr_curve(scored, keys, complete=True)
     size = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"), F.avg(F.col("y").cast("double")).alias("fraction"))
     for part in (precision_at_recall(curve, keys), recall_at_fpr(curve, keys), areas(curve, keys)):
         size = size.join(part, keys, "left")

@@ -7,12 +7,14 @@ family), so adding a family adds rows, not joins.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
+from gaitprint.sources.staging import bucketed_table
 
 _OVER = "OVER (PARTITION BY cookie_id ORDER BY rn)"
 _BEFORE = "OVER (PARTITION BY cookie_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -59,9 +61,8 @@ NUMBERED = {"sid_300": f"sum(new_300) {_SO_FAR}", "sid_1800": f"sum(new_1800) {_
 VALUE_STATS = {"n": "sum(c)", "k": "count(*)", "top": "max(c)", "entropy": "log2(sum(c)) - sum(c * log2(c)) / sum(c)", "hhi": "sum(CAST(c AS double) * c) / (CAST(sum(c) AS double) * sum(c))"}
 
 
-def number_stats(percentile) -> dict[str, str]:
-    out = {"n": "count(*)", "mean": "avg(v)", "std": "stddev_pop(v)", "max": "max(v)", "log_std": "stddev_pop(ln(1 + v))"}
-    return out | {n: percentile("v", q) for n, q in (("median", 0.5), ("q10", 0.1), ("q25", 0.25), ("q75", 0.75), ("q90", 0.9))}
+NUMBER_STATS = {"n": "count(*)", "mean": "avg(v)", "std": "stddev_pop(v)", "max": "max(v)", "log_std": "stddev_pop(CASE WHEN v >= 0 THEN ln(1 + v) END)"}
+QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}
 
 
 RHYTHM_STATS = {
@@ -82,8 +83,15 @@ def _agg(df: DataFrame, keys: list[str], stats: dict[str, str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.expr(x).alias(n) for n, x in stats.items()])
 
 
-def scalar_family(seq: DataFrame) -> DataFrame:
-    return _agg(seq, ["cookie_id"], C.scalars(SPARK["percentile"]))
+#: Aggregates of one pass over the rows; with more of them the generated code is too long to be compiled.
+AT_ONCE = 32
+
+
+def scalar_family(seq: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """One row per visitor with :func:`catalogue.scalars`, or some of them; a few passes over rows that lie together by visitor."""
+    stats = [(n, x) for n, x in C.scalars().items() if names is None or n in names]
+    parts = [_agg(seq, ["cookie_id"], dict(stats[lo : lo + AT_ONCE])) for lo in range(0, len(stats), AT_ONCE)]
+    return reduce(lambda a, b: a.join(b, "cookie_id"), parts)
 
 
 def value_statistics(seq: DataFrame, families: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -134,49 +142,60 @@ TURN_BACK = {c: f"lag({e}) {_OVER}" for c, e in (("back_x", "dx"), ("back_y", "d
 COSINE = "(dx * back_x + dy * back_y) / nullif(len * back_len, 0)"
 
 
-def turns(seq: DataFrame) -> DataFrame:
+def turn_cosines(seq: DataFrame) -> DataFrame:
     """Cosine between neighbouring pointer steps, after steps without time are left out."""
     steps = seq.where("dt > 0").withColumns({n: F.expr(x) for n, x in TURN_BACK.items()})
-    return _agg(steps.withColumn("cosine", F.expr(COSINE)), ["cookie_id"], C.TURN_SCALARS)
+    return steps.select("cookie_id", F.expr(COSINE).alias("cosine"))
+
+
+def turns(seq: DataFrame) -> DataFrame:
+    return _agg(turn_cosines(seq), ["cookie_id"], C.TURN_SCALARS)
 
 
-def numbers(seq: DataFrame) -> DataFrame:
-    """The long table of all number families: cookie_id, fam, pos, v."""
-    each = F.array(*[F.expr(f"CASE WHEN {c} THEN named_struct('fam', '{n}', 'v', CAST({v} AS double)) END") for n, (c, v) in C.NUMBERS.items()])
+def numbers(seq: DataFrame, families: set[str] | None = None) -> DataFrame:
+    """The long table of all number families, or of some: cookie_id, fam, pos, v."""
+    wanted = set(C.ALL_NUMBERS) if families is None else families
+    each = F.array(*[F.expr(f"CASE WHEN {c} THEN named_struct('fam', '{n}', 'v', CAST({v} AS double)) END") for n, (c, v) in C.NUMBERS.items() if n in wanted])
     parts = [seq.select("cookie_id", F.col("rn").alias("pos"), F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "pos", "x.v")]
 
     def unpivot(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
         each = F.array(*[F.expr(f"CASE WHEN {c} IS NOT NULL THEN named_struct('fam', '{n}', 'v', CAST({c} AS double)) END") for n, c in pairs.items()])
         return df.select("cookie_id", F.lit(0).alias("pos"), F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "pos", "x.v")
 
-    parts += [unpivot(sessions(seq, c), {f"session_{c}_{s}": s for s in ("size", "span", "cv")}) for c in C.CUTOFFS]
-    parts.append(unpivot(items(seq), {"per_item_events": "events", "per_item_action_types": "types", "contact_latency": "latency"}))
-    parts.append(unpivot(query_depths(seq), {"per_query_depth": "depth"}))
+    more = [(lambda c=c: sessions(seq, c), {f"session_{c}_{s}": s for s in ("size", "span", "cv")}) for c in C.CUTOFFS]
+    more.append((lambda: items(seq), {"per_item_events": "events", "per_item_action_types": "types", "contact_latency": "latency"}))
+    more.append((lambda: query_depths(seq), {"per_query_depth": "depth"}))
+    for source, pairs in more:
+        if own := {n: c for n, c in pairs.items() if n in wanted}:
+            parts.append(unpivot(source(), own))
     return reduce(DataFrame.unionByName, parts)
 
 
 def number_statistics(long: DataFrame) -> DataFrame:
-    """cookie_id, fam: count, mean, population std, interpolated quantiles, max, and std of log1p."""
-    return _agg(long, ["cookie_id", "fam"], number_stats(SPARK["percentile"]))
+    """cookie_id, fam: count, mean, population std, max, std of log1p, and interpolated quantiles (one pass for all of them)."""
+    at = ", ".join(f"{q}D" for q in QUANTILES.values())
+    found = _agg(long, ["cookie_id", "fam"], NUMBER_STATS | {"quantiles": f"percentile(v, array({at}))"})
+    return found.select("cookie_id", "fam", *NUMBER_STATS, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 
-_FAM = "OVER (PARTITION BY cookie_id, fam)"
 NEXT = "lead(v) OVER (PARTITION BY cookie_id, fam ORDER BY pos)"
 
 
-def rhythm_statistics(long: DataFrame) -> DataFrame:
-    """cookie_id, fam: median absolute deviation, share near the median and lag-1 autocorrelation of the cadence families."""
-    kept = long.where(F.col("fam").isin(*C.CADENCES))
-    # The median comes back by a join on the same hashing: it is one row per visitor and family.
-    medians = _agg(kept, ["cookie_id", "fam"], {"m": SPARK["percentile"]("v", 0.5)})
+def rhythm_statistics(long: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+    """cookie_id, fam: median absolute deviation, share near the median and lag-1 autocorrelation of the cadence families.
+
+    Medians come from ``statistics`` (:func:`number_statistics`), one row per visitor and family.
+    """
+    rhythms = F.col("fam").isin(*C.CADENCES)
+    kept = long.where(rhythms)
+    medians = (number_statistics(kept) if statistics is None else statistics.where(rhythms)).select("cookie_id", "fam", F.col("median").alias("m"))
     paired = kept.withColumn("nv", F.expr(NEXT)).join(medians, ["cookie_id", "fam"])
     return _agg(paired, ["cookie_id", "fam"], {"mad": SPARK["percentile"]("abs(v - m)", 0.5)} | RHYTHM_STATS)
 
 
-def widened(long: DataFrame, families, stats) -> DataFrame:
-    """One row per visitor: column fam__stat for each family and statistic."""
-    cells = [F.max(F.when(F.col("fam") == f, F.col(s))).alias(f"{f}__{s}") for f in families for s in stats]
-    return long.groupBy("cookie_id").agg(*cells)
+def widened(long: DataFrame, cells: list[tuple[str, str]]) -> DataFrame:
+    """One row per visitor: column fam__stat for each given family and statistic."""
+    return long.groupBy("cookie_id").agg(*[F.max(F.when(F.col("fam") == f, F.col(s))).alias(f"{f}__{s}") for f, s in cells])
 
 
 META = {
@@ -193,22 +212,36 @@ def feature_table(meta: DataFrame, seq: DataFrame, families: str = "all") -> Dat
     labels never reach a feature.
     """
     base, v2 = C.features()
+    wanted = base if families == "base" else base | v2
+    # Only what the wanted features read is computed.
+    read = set(re.findall(r"[A-Za-z_]\w*", " ".join(wanted.values())))
+    cells = [tuple(x.rsplit("__", 1)) for x in sorted(read) if "__" in x]
+    of = lambda stats: [(f, s) for f, s in cells if s in stats]
+    some = lambda stats: {n: x for n, x in stats.items() if n in read}
     created = "timestampdiff(MICROSECOND, cookie_created_at, window_start_ts) / 1e6D"
     wide = meta.select("cookie_id", *[F.expr(x.format(created=f"({created})")).alias(n) for n, x in META.items()], F.expr("CAST(weekday(window_start_ts) AS double)").alias("window_weekday"))
-    long = numbers(seq)
-    for part in (
-        scalar_family(seq),
-        widened(value_statistics(seq), C.VALUES, VALUE_STATS),
-        widened(number_statistics(long), C.ALL_NUMBERS, [s for s in number_stats(SPARK["percentile"]) if s != "n"]),
-        widened(rhythm_statistics(long), C.CADENCES, ("mad", *RHYTHM_STATS)),
-        session_scalars(seq, 300),
-        session_scalars(seq, 1800),
-        run_scalars(seq),
-        _agg(items(seq), ["cookie_id"], C.ITEM_SCALARS),
-        _agg(query_depths(seq), ["cookie_id"], C.QUERY_SCALARS),
-        turns(seq),
+    value_cells, number_cells, rhythm_cells = of(VALUE_STATS), of((*NUMBER_STATS, *QUANTILES)), of(("mad", *RHYTHM_STATS))
+    number_cells = [(f, s) for f, s in number_cells if s != "n"]  # the count of values
+    # Numbers of all kinds come together here once; their table is read twice.
+    long = bucketed_table(numbers(seq, {f for f, _ in number_cells + rhythm_cells}), "cookie_id", "numbers")
+    statistics = number_statistics(long)
+    parts = [
+        scalar_family(seq, read | {"n_events"}),
+        widened(value_statistics(seq, {f: x for f, x in C.VALUES.items() if f in {f for f, _ in value_cells}}), value_cells),
+        widened(statistics, number_cells),
+    ]
+    if rhythm_cells:
+        parts.append(widened(rhythm_statistics(long, statistics), rhythm_cells))
+    for source, stats in (
+        *[(lambda c=c: sessions(seq, c), {n.format(p=f"s{c}_"): x for n, x in C.SESSION_SCALARS.items()}) for c in C.CUTOFFS],
+        (lambda: _agg(seq, ["cookie_id", "run"], {"size": "count(*)"}), C.RUN_SCALARS),
+        (lambda: items(seq), C.ITEM_SCALARS),
+        (lambda: query_depths(seq), C.QUERY_SCALARS),
+        (lambda: turn_cosines(seq), C.TURN_SCALARS),
     ):
+        if own := some(stats):
+            parts.append(_agg(source(), ["cookie_id"], own))
+    for part in parts:
         wide = wide.join(part, "cookie_id", "left")
     wide = wide.withColumn("has_events", F.expr("CASE WHEN n_events > 0 THEN 1.0D ELSE 0.0D END"))
-    wanted = base if families == "base" else base | v2
     return wide.select("cookie_id", *[F.expr(C.filled(n, x)).alias(n) for n, x in wanted.items()])

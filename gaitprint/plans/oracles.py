@@ -52,6 +52,10 @@ seq2 AS (SELECT *, {_columns(S.derived(DUCK))} FROM seq1),
 seq AS (SELECT *, {_columns(S.NUMBERED)} FROM seq2)"""
 
 
+def _number_stats() -> dict[str, str]:
+    return S.NUMBER_STATS | {n: DUCK["percentile"]("v", q) for n, q in S.QUANTILES.items()}
+
+
 def _families() -> str:
     values = " UNION ALL ".join(f"SELECT cookie_id, '{n}' AS fam, {v} AS value FROM seq WHERE {c}" for n, (c, v) in C.VALUES.items())
     numbers = [f"SELECT cookie_id, '{n}' AS fam, rn AS pos, CAST({v} AS double) AS v FROM seq WHERE {c}" for n, (c, v) in C.NUMBERS.items()]
@@ -76,10 +80,10 @@ value_stats AS (SELECT cookie_id, fam, {_columns(S.VALUE_STATS)} FROM (SELECT co
 items AS (SELECT cookie_id, item_id, {_columns(item_stats)} FROM (SELECT *, {S.FIRST_VIEW} AS fv FROM seq WHERE item_id IS NOT NULL) q GROUP BY ALL),
 queries AS (SELECT cookie_id, search_query, {_columns(S.QUERY_STATS)} FROM seq WHERE {S.QUERY_ROWS} GROUP BY ALL),
 numbers AS ({" UNION ALL ".join(numbers)}),
-number_stats AS (SELECT cookie_id, fam, {_columns(S.number_stats(DUCK["percentile"]))} FROM numbers GROUP BY ALL),
+number_stats AS (SELECT cookie_id, fam, {_columns(_number_stats())} FROM numbers GROUP BY ALL),
 kept AS (SELECT *, {S.NEXT} AS nv, {DUCK["percentile"]("v", 0.5)} OVER (PARTITION BY cookie_id, fam) AS m FROM numbers WHERE fam IN ({in_cadence})),
 rhythm_stats AS (SELECT cookie_id, fam, {mad} AS mad, {_columns(S.RHYTHM_STATS)} FROM kept GROUP BY ALL),
-scalars AS (SELECT cookie_id, {_columns(C.scalars(DUCK["percentile"]))} FROM seq GROUP BY 1),
+scalars AS (SELECT cookie_id, {_columns(C.scalars())} FROM seq GROUP BY 1),
 {", ".join(parts)},
 runs AS (SELECT cookie_id, {_columns(C.RUN_SCALARS)} FROM (SELECT cookie_id, run, count(*) AS size FROM seq GROUP BY ALL) q GROUP BY 1),
 item_scalars AS (SELECT cookie_id, {_columns(C.ITEM_SCALARS)} FROM items GROUP BY 1),
@@ -99,13 +103,24 @@ def _wide(families: str) -> str:
     joins = " ".join(f"LEFT JOIN {p} USING (cookie_id)" for p in ("scalars", "w1", "w2", "w3", "s300", "s1800", "runs", "item_scalars", "query_scalars", "turn_scalars"))
     wanted = base if families == "base" else base | v2
     return f"""{_families()},
-{pivot("w1", "value_stats", C.VALUES, S.VALUE_STATS)}, {pivot("w2", "number_stats", C.ALL_NUMBERS, [s for s in S.number_stats(DUCK["percentile"]) if s != "n"])},
+{pivot("w1", "value_stats", C.VALUES, S.VALUE_STATS)}, {pivot("w2", "number_stats", C.ALL_NUMBERS, [s for s in _number_stats() if s != "n"])},
 {pivot("w3", "rhythm_stats", C.CADENCES, ("mad", *S.RHYTHM_STATS))},
 own AS (SELECT cookie_id, {own}, CAST(isodow(window_start_ts) - 1 AS double) AS window_weekday FROM meta),
 wide AS (SELECT *, CASE WHEN n_events > 0 THEN 1.0 ELSE 0.0 END AS has_events FROM own {joins})
 SELECT cookie_id, {", ".join(f"round({C.filled(n, x)}, 6) + 0.0 AS {n}" for n, x in wanted.items())} FROM wide"""
 
 
+def _rebuilt() -> str:
+    """The features of test visitors from the whole log, and again from their own events alone."""
+    one = _wide("all")
+    own = one.replace("FROM raw JOIN meta USING", "FROM (SELECT * FROM raw WHERE cookie_id IN (SELECT cookie_id FROM meta WHERE NOT is_train)) raw JOIN (SELECT * FROM meta WHERE NOT is_train) meta USING")
+    own = own.replace("FROM meta),\nwide AS", "FROM meta WHERE NOT is_train),\nwide AS")
+    base, v2 = C.features()
+    apart = " + ".join(f"CASE WHEN abs(a.{n} - b.{n}) > 1e-9 THEN 1 ELSE 0 END" for n in base | v2)
+    return f"""a AS (WITH {one}), b AS (WITH {own})
+SELECT b.cookie_id, b.n_events, b.gap_mean, b.v2_cadence_all_entropy, CAST({apart} AS int) AS differing FROM b LEFT JOIN a ON a.cookie_id = b.cookie_id"""
+
+
 def _r(*names: str) -> str:
     return ", ".join(f"round(CAST({n} AS double), 6) + 0.0 AS {n}" for n in names)
 
@@ -122,7 +137,7 @@ measures AS (SELECT lang, coalesce(max(CASE WHEN recall >= 0.7 THEN precision EN
 
 
 def oracle_sql() -> dict[str, str]:
-    stats = tuple(S.number_stats(DUCK["percentile"]))
+    stats = tuple(_number_stats())
     counted = "n k top".split()
     out = {
         "clean_events": f"{_clean()} SELECT {_E}, CAST(rn AS int) AS rn FROM clean",
@@ -143,7 +158,7 @@ a AS (SELECT sum(c) AS raw_events, sum(c) - count(*) AS raw_exact_duplicates, su
  count(*) FILTER (cookie_created_at > window_end_ts) AS created_late, count(*) FILTER (target IS NULL OR target NOT IN (0, 1)) AS bad_targets FROM meta WHERE is_train""",
         "cookie_overlap": f"{sample_log.CTES} SELECT cookie_id FROM meta WHERE is_train INTERSECT SELECT cookie_id FROM meta WHERE NOT is_train",
         "unknown_cookies": f"{sample_log.CTES} SELECT cookie_id, count(*) AS n FROM raw WHERE cookie_id NOT IN (SELECT cookie_id FROM meta WHERE is_train) GROUP BY 1",
-        "scalar_features": f"{_families()} SELECT cookie_id, {_r(*C.scalars(DUCK['percentile']))} FROM scalars",
+        "scalar_features": f"{_families()} SELECT cookie_id, {_r(*C.scalars())} FROM scalars",
         "value_distributions": f"{_families()} SELECT cookie_id, fam, {', '.join(f'CAST({c} AS bigint) AS {c}' for c in counted)}, {_r('entropy', 'hhi')} FROM value_stats",
         "number_summaries": f"{_families()} SELECT cookie_id, fam, {_r(*stats)} FROM number_stats",
         "cadence_features": f"{_families()} SELECT cookie_id, fam, {_r('mad', 'near', 'autocorrelation')} FROM rhythm_stats",
@@ -156,7 +171,8 @@ a AS (SELECT sum(c) AS raw_events, sum(c) - count(*) AS raw_exact_duplicates, su
         "pointer_turns": f"{_families()} SELECT cookie_id, {_r(*C.TURN_SCALARS)} FROM turn_scalars",
         "cookie_features_base": _wide("base"),
         "cookie_features": _wide("all"),
-        "rebuild_difference": "users AS (SELECT 1) SELECT CAST(NULL AS string) AS cookie_id WHERE false",
+        "rebuild_difference": _rebuilt(),
+        "all_cookies": f"{sample_log.CTES} SELECT cookie_id, cookie_created_at, window_start_ts, window_end_ts FROM meta",
         "pr_curve": f"{_CURVE} SELECT lang, n, pos, k, tp, {_r('score', 'precision', 'recall')} FROM curve",
         "precision_at_recall": f"{_REPORT} SELECT lang, {_r('precision_at_recall')} FROM measures",
         "recall_at_fpr": f"{_REPORT} SELECT lang, {_r('recall_at_fpr')} FROM measures",

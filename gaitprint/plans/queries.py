@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
 from gaitprint.operators import clean, ensemble, ranking, sequences
 from gaitprint.sources import sample_log
+from gaitprint.sources.staging import bucketed_table, new_folder, stage_table
 from gaitprint.sources.tables import EVENT_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,13 +35,40 @@ def _seq(spark, d):
     return sequences.sequence_columns(clean.describe_events(_clean(spark, d)))
 
 
+def _written(spark, meta, events):
+    """The sequence columns, written once for what reads them several times, and hashed by visitor as they are."""
+    log = clean.clean_events(events, meta, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed_table(sequences.sequence_columns(clean.describe_events(log)), "cookie_id", "sequence-columns")
+
+
+def _seq_table(spark, d):
+    meta, events = sample_log.load(spark, d)
+    return _written(spark, meta, events)
+
+
 def _features(spark, d, families="all", only: DataFrame | None = None):
-    """The feature table; its log is persisted, as ten families read it."""
+    """The feature table of all visitors, or of some from their own events alone."""
     meta, events = sample_log.load(spark, d)
     if only is not None:
         meta, events = meta.join(only, "cookie_id", "left_semi"), events.join(only, "cookie_id", "left_semi")
-    seq = sequences.sequence_columns(clean.describe_events(clean.clean_events(events, meta))).persist()
-    return sequences.feature_table(meta, seq, families)
+    return sequences.feature_table(meta, _written(spark, meta, events), families)
+
+
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read: written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stage_table(make(), name)
+    return _WRITTEN[key]
+
+
+def _checked_features(spark, d):
+    table = _once(spark, d, "features", lambda: _features(spark, d))
+    ensemble.check_features(table)
+    return table
 
 
 def _train(spark, d, is_train=True):
@@ -66,41 +94,74 @@ def _two_scores(spark, d):
 
 
 def _rebuild(spark, d):
-    """Visitors whose features differ when they are rebuilt from their own events alone; none should."""
+    """Test visitors, each rebuilt from their own events alone: some of the rebuilt features, and how many of all 472 differ (none should)."""
     test = _train(spark, d, False).select("cookie_id")
-    whole = _features(spark, d).join(test, "cookie_id", "left_semi")
-    return ensemble.differences(whole, _features(spark, d, only=test))
+    rebuilt = _once(spark, d, "rebuilt", lambda: _features(spark, d, only=test))
+    whole = _once(spark, d, "features", lambda: _features(spark, d)).join(test, "cookie_id", "left_semi")
+    told = rounded(rebuilt.select("cookie_id", "n_events", "gap_mean", "v2_cadence_all_entropy"), "cookie_id")
+    return told.join(ensemble.compared(whole, rebuilt), "cookie_id", "full_outer")
+
+
+def _placed(spark, d, is_train):
+    """A visitor table with row_ord, the place that scores are written in."""
+    order = Window.orderBy("window_start_ts", "cookie_id")  # a visitor table's rows are few beside its log
+    return _train(spark, d, is_train).withColumn("row_ord", F.row_number().over(order) - 1)
 
 
 def _labelled(spark, d):
-    return _features(spark, d).join(_train(spark, d).select("cookie_id", "target"), "cookie_id").persist()
+    return _checked_features(spark, d).join(_train(spark, d).select("cookie_id", "target"), "cookie_id")
 
 
 def _scores(spark, d):
-    return ensemble.out_of_time_scores(_labelled(spark, d), _roles(spark, d))
+    def make():
+        roles = _roles(spark, d)
+        ensemble.check_folds(roles)
+        return ensemble.out_of_time_scores(_labelled(spark, d), roles)
+
+    return _once(spark, d, "out-of-time-scores", make)
 
 
 def _recipe_report(spark, d):
     """Ranking measures of every recipe, per fold and pooled."""
-    return ranking.ranking_report(ensemble.recipe_scores(_scores(spark, d)).persist().withColumnRenamed("target", "y"), ["recipe", "fold"])
+    scored = ensemble.recipe_scores(_scores(spark, d)).withColumnRenamed("target", "y")
+    ranking.check_scores(scored, ["recipe", "fold"])
+    return ranking.ranking_report(scored, ["recipe", "fold"])
+
+
+def _models(spark, d):
+    """The models of all specs, fitted on all labelled visitors, saved once and read back."""
+    key = (spark.sparkContext.applicationId, d, "models")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = new_folder(spark, "models")
+        ensemble.fit_models(_labelled(spark, d), folder=_WRITTEN[key])
+    return ensemble.load_models(_WRITTEN[key])
+
+
+def _final_scores(spark, d):
+    """The scores of v2 for all test visitors, in their order."""
+
+    def make():
+        _, test = ensemble.split_back(_checked_features(spark, d), _placed(spark, d, True), _placed(spark, d, False))
+        return ensemble.score_all(_models(spark, d), test, ensemble.RECIPES["v2"])
+
+    return _once(spark, d, "final-scores", make)
 
 
 def _importance(spark, d):
     """Weighted gains of the models of v2, each fitted on all labelled visitors."""
-    table, recipe = _labelled(spark, d), ensemble.RECIPES["v2"]
-    models = {m: ensemble.fit_model(table, ensemble.SPECS[m]) for m in recipe}
-    names = {m: ensemble.feature_columns(table, ensemble.SPECS[m]["families"]) for m in recipe}
-    return rounded(ranking.importance(ensemble.gains(spark, models, names), recipe), "feature")
+    table = _checked_features(spark, d)
+    names = {m: ensemble.feature_columns(table, spec["families"]) for m, spec in ensemble.SPECS.items()}
+    return rounded(ranking.importance(ensemble.gains(spark, _models(spark, d), names), ensemble.RECIPES["v2"]), "feature")
 
 
 def _score_table(spark, d):
-    """Checks of the out-of-time scores of v2 against the visitors that each fold is to score, the fold as their place: all counts are 0."""
-    scores = ensemble.recipe_scores(_scores(spark, d)).where("recipe = 'v2' AND fold <> 'all'").select("cookie_id", F.col("fold").cast("int").alias("row_ord"), "score").persist()
-    return ensemble.score_violations(scores, _roles(spark, d).where("role = 'valid'").select("cookie_id", F.col("fold").alias("row_ord")))
+    """Checks of the final scores against the test visitors and their places: all counts are 0."""
+    return ensemble.score_violations(_final_scores(spark, d), _placed(spark, d, False).select("cookie_id", "row_ord"))
 
 
 def queries() -> dict[str, Query]:
-    p, q = C.scalars(sequences.SPARK["percentile"]), {}
+    q = {}
+    q["all_cookies"] = lambda s, d: clean.all_cookies(_train(s, d), _train(s, d, False))
     q["clean_events"] = lambda s, d: _clean(s, d).select(*EVENT_COLUMNS, "rn")
     q["event_audit"] = lambda s, d: clean.audit(*reversed(sample_log.load(s, d)))
     q["null_fractions"] = lambda s, d: clean.null_fractions(sample_log.load(s, d)[1])
@@ -109,10 +170,10 @@ def queries() -> dict[str, Query]:
     q["cookie_checks"] = lambda s, d: clean.cookie_violations(_train(s, d), True)
     q["cookie_overlap"] = lambda s, d: clean.overlapping_cookies(_train(s, d), _train(s, d, False))
     q["unknown_cookies"] = lambda s, d: clean.unknown_cookies(sample_log.load(s, d)[1], _train(s, d))
-    q["scalar_features"] = lambda s, d: rounded(sequences.scalar_family(_seq(s, d)).select("cookie_id", *p), "cookie_id")
+    q["scalar_features"] = lambda s, d: rounded(sequences.scalar_family(_seq_table(s, d)).select("cookie_id", *C.scalars()), "cookie_id")
     q["value_distributions"] = lambda s, d: rounded(sequences.value_statistics(_seq(s, d)), "cookie_id", "fam", "n", "k", "top")
-    q["number_summaries"] = lambda s, d: rounded(sequences.number_statistics(sequences.numbers(_seq(s, d))), "cookie_id", "fam")
-    q["cadence_features"] = lambda s, d: rounded(sequences.rhythm_statistics(sequences.numbers(_seq(s, d))), "cookie_id", "fam")
+    q["number_summaries"] = lambda s, d: rounded(sequences.number_statistics(sequences.numbers(_seq_table(s, d))), "cookie_id", "fam")
+    q["cadence_features"] = lambda s, d: rounded(sequences.rhythm_statistics(sequences.numbers(_seq_table(s, d))), "cookie_id", "fam")
     for c in C.CUTOFFS:
         q[f"sessions_{c}"] = lambda s, d, c=c: rounded(sequences.session_scalars(_seq(s, d), c), "cookie_id")
     q["action_runs"] = lambda s, d: rounded(sequences.run_scalars(_seq(s, d)), "cookie_id")
@@ -123,7 +184,7 @@ def queries() -> dict[str, Query]:
     q["cookie_features_base"] = lambda s, d: rounded(_features(s, d, "base"), "cookie_id")
     q["cookie_features"] = lambda s, d: rounded(_features(s, d), "cookie_id")
     q["rebuild_difference"] = _rebuild
-    q["feature_fingerprint"] = lambda s, d: ensemble.fingerprint(rounded(_features(s, d), "cookie_id"), "cookie_id")
+    q["feature_fingerprint"] = lambda s, d: ensemble.fingerprint(rounded(_once(s, d, "features", lambda: _features(s, d)), "cookie_id"), "cookie_id")
     q["pr_curve"] = lambda s, d: rounded(_curve(s, d).select("lang", "n", "pos", "k", "tp", "score", "precision", "recall"), "lang", "n", "pos", "k", "tp")
     q["precision_at_recall"] = lambda s, d: rounded(ranking.precision_at_recall(_curve(s, d), ["lang"]), "lang")
     q["recall_at_fpr"] = lambda s, d: rounded(ranking.recall_at_fpr(_curve(s, d), ["lang"]), "lang")
@@ -132,6 +193,7 @@ def queries() -> dict[str, Query]:
     q["weighted_precision"] = lambda s, d: rounded(ranking.weighted_precision(ranking.ranking_report(_scored(s, d), ["lang"]).withColumn("recipe", F.lit("all")), ["recipe"]), "recipe")
     q["time_folds"] = lambda s, d: _roles(s, d).select("cookie_id", "fold", "role")
     q["blend"] = lambda s, d: ensemble.blend(_two_scores(s, d), {"a": 0.25, "b": 0.75}).select("doc_id", F.round("score", 6).alias("score"))
+    q["final_scores"] = lambda s, d: rounded(_final_scores(s, d), "cookie_id", "row_ord")
     q["score_table"] = _score_table
     q["out_of_time_scores"] = lambda s, d: rounded(_scores(s, d), "cookie_id", "model", "fold", "target")
     q["recipe_report"] = lambda s, d: rounded(_recipe_report(s, d), "recipe", "fold", "n", "positives")

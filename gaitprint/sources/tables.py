@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the input tables, in their order.
 EVENT_COLUMNS = (
     "cookie_id", "event_ts", "eid", "event_name", "platform", "user_agent", "item_id", "item_category",
     "item_location", "seller_type", "search_query", "search_page", "pointer_x", "pointer_y",
@@ -60,10 +61,7 @@ def write_predictions(long: DataFrame, path: str, recipes: list[str]) -> None:
     long.groupBy("cookie_id", "window_start_ts", "target").pivot("recipe", recipes).agg(F.first("score")).write.csv(path, header=True)
 
 
-def write_table(table: DataFrame, path: str) -> None:
-    table.write.parquet(path)
-
-
-def write_report(table: DataFrame, path: str) -> None:
-    """Audits and importances as JSON lines."""
-    table.write.json(path)
+def write_reports(folder: str, **tables: DataFrame) -> None:
+    """Feature tables, audits and importances, each a Parquet table of its name."""
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
