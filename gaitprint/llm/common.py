@@ -1,10 +1,9 @@
-"""What the operators share: tables in the shared folder, and Arrow helpers for the tasks."""
+"""What the operators share: tables in the shared folder (from :mod:`gaitprint.sources.staging`), and Arrow helpers for the tasks."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -14,23 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text of one Arrow batch that is worked on at a time; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
-
+from gaitprint.sources.staging import drop_tables, new_folder, stage_table
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["drop_tables", "free_name", "mix64", "new_folder", "own_columns", "ship_package", "slices", "stage_table", "utf8_bytes"]
 
-    Where the session has none (tests, one machine) a temporary folder is set once.
-    """
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+#: Text of one Arrow batch that is worked on at a time; a longer single text is a slice of its own.
+SLICE_BYTES = 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,21 +35,6 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(str(file))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not the work before it, and a table that two
-    branches use is computed once.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of ``df``, whatever characters their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -111,10 +84,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of values[start:end] along the first axis, with empty segments as zero."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.result_type(values.dtype, np.float64 if values.dtype.kind == "f" else values.dtype))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[ends] - total[starts]

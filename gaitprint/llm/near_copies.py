@@ -7,9 +7,10 @@ threshold is confirmed on the full sets, rebuilt from the texts.
 
 Equal sets are one node from the start.  In each band bucket every node is first compared with the
 bucket's smallest one only; nodes that this links are one component.  What is left are buckets that still
-hold several components: small ones give the pairs between components, large ones are cut into blocks of
-bounded size that meet two by two in tasks, and those emit only links that join components.  So no group of
-copies becomes all its pairs, and no link between components is lost.
+hold several components: small ones give the pairs between components; large ones are cut into blocks of
+bounded size whose packed words meet two by two in tasks, and a bucket's largest component doesn't meet
+itself.  Nodes that may have a partner there meet again with their texts, and give only links that join
+components.  So no group of copies becomes all its pairs, and no link between components is lost.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, about 5e-8 (6e-11 at 0.85), and a
 true pair falls below the estimate's bound (six standard errors) less often still.
@@ -23,10 +24,10 @@ from functools import cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitprint.llm.common import mix64, slices, stage_table
+from gaitprint.llm.common import drop_tables, free_name, mix64, own_columns, slices, stage_table
 
 WORDS = 5
 #: Hundredths of the union that the intersection of linked sets reaches.
@@ -35,7 +36,7 @@ HASHES, BANDS, BITS = 128, 32, 4
 #: Estimates so many standard errors below the threshold are still confirmed.
 ERRORS = 6
 #: Buckets of up to so many nodes give pairs; larger ones are cut into blocks of about BLOCK nodes.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 512
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -178,14 +179,19 @@ def least_estimate(threshold: int) -> float:
     return threshold / 100 - ERRORS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
 
+def _words() -> list[str]:
+    return [f"s{k}" for k in range(HASHES // 16)]
+
+
+def _words() -> list[str]:
+    return [f"s{k}" for k in range(HASHES // 16)]
+
+
 def _screened(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimates may reach it."""
-    words = [f"s{k}" for k in range(HASHES // 16)]
-    side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n_shingles", *words).alias(f"{x}_"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n_shingles", *_words()).alias(f"{x}_"))
     sized = 100 * F.least("a_.n_shingles", "b_.n_shingles") >= threshold * F.greatest("a_.n_shingles", "b_.n_shingles")
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (estimate("a_", "b_") >= least_estimate(threshold))).select("a", "b")
-    )
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (estimate("a_", "b_") >= least_estimate(threshold))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -194,13 +200,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a", 1 << 20):
-            left, right = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
-            good = pa.array([linked(x, y, threshold) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+        for both in slices(batches, "text_a", 1 << 20):
+            for batch in slices([both], "text_b", 1 << 20):
+                left, right = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
+                good = pa.array([linked(x, y, threshold) for x, y in zip(left, right, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(confirm, "a long, b long").distinct()
+    found = stage_table(both.mapInArrow(confirm, "a long, b long").distinct(), "links")
+    drop_tables(pairs)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round's labels are a table of their own, so a lost executor costs a reread.
     """
-    both = stage_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = stage_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "both-ways")
     labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("of_b")), "b").groupBy("a").agg(F.min("of_b").alias("of_b"))
@@ -217,23 +226,26 @@ def components(links: DataFrame) -> DataFrame:
         )
         jumped = lower.join(lower.select(F.col("node").alias("new"), F.col("new").alias("label")), "new").select("node", "old", "label")
         jumped = stage_table(jumped, "labels")
-        labels = jumped.select("node", "label")
+        drop_tables(labels, lower)
+        labels = jumped
         if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
+            drop_tables(both)
             return labels.select("node", F.col("label").alias("component"))
 
 
 def _between_components(nodes: DataFrame, texts: DataFrame, joined: DataFrame, buckets: DataFrame, threshold: int) -> DataFrame:
-    """Links between components that share a bucket."""
+    """Links between components that share a bucket, as a table."""
     inside = (
-        nodes.join(joined, "node", "left")
-        .select("node", "n_shingles", F.coalesce("component", "node").alias("component"), F.explode("bands").alias("key"))
+        nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
         .join(buckets.select("key", "n"), "key")
+        .join(joined, "node", "left")
+        .select("key", "n", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     )
-    open_ = (
-        inside.groupBy("key", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
-    )
-    open_ = stage_table(open_, "open")
-    members = stage_table(inside.drop("n").join(open_, "key").select("key", "n", "node", "n_shingles", "component"), "members")
+    inside = stage_table(inside, "in-buckets")
+    # Of each bucket: whether it holds several components, and which of them has the most nodes.
+    per = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    open_ = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("bulk"), F.max("c").alias("bulk_n")).where("parts > 1").drop("parts")
+    members = stage_table(inside.join(open_, "key"), "members")
     few = members.where(F.col("n") <= SMALL)
     other = few.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
     pairs = (
@@ -245,58 +257,81 @@ def _between_components(nodes: DataFrame, texts: DataFrame, joined: DataFrame, b
     )
     found = _confirmed(_screened(pairs, nodes, threshold), texts, threshold)
 
-    # Large buckets: block i meets block j for every i <= j; a block has about BLOCK nodes whatever the bucket's size.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = members.where(F.col("n") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    words = [f"s{k}" for k in range(HASHES // 16)]
+    # Large buckets are cut into blocks of about BLOCK nodes: first those outside of the largest component, then that
+    # component's.  Blocks meet two by two, but not two of the largest component; if it holds nearly all of a bucket,
+    # each of its nodes is met once.
+    minor = F.col("component") != F.col("bulk")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    many = members.where(F.col("n") > SMALL).withColumn("outside", blocks(F.col("n") - F.col("bulk_n"))).withColumn("all", F.col("outside") + blocks(F.col("bulk_n")))
+    hashed = F.xxhash64("node")
+    own = F.when(minor, F.pmod(hashed, "outside")).otherwise(F.col("outside") + F.pmod(hashed, F.col("all") - F.col("outside"))).cast("int")
     placed = (
-        many.join(nodes.select("node", "bands", *words), "node")
-        .join(texts, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "component", "text", "bands", *words)
+        many.join(nodes.select("node", *_words()), "node")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("all")).otherwise(F.col("outside")) - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "component", *_words())
     )
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        w = group[words].to_numpy(dtype=np.int64).view(np.uint64)
-        n, own, node = (group[c].to_numpy() for c in ("n_shingles", "own", "node"))
-        bands = np.stack(group["bands"].to_numpy())
-        here = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
-        across = group["i"].iloc[0] != group["j"].iloc[0]
-        parent = {c: c for c in group["component"]}
-        comp = group["component"].to_numpy()
-        texts, sets, links = group["text"].to_numpy(), {}, []
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        def of(i):
-            if i not in sets:
-                sets[i] = shingle_sets(pa.array([texts[i]], pa.string()))[0]
-            return sets[i]
-
-        for i in range(len(group) - 1):
-            x = w[i] ^ w[i + 1 :]
-            y = x | (x >> np.uint64(1))
-            y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
-            agree = 1 - np.bitwise_count(y).sum(axis=1) / HASHES
-            close = (agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= least_estimate(threshold)
-            close &= 100 * np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :])
-            close &= comp[i] != comp[i + 1 :]
-            close &= (bands[i] == bands[i + 1 :]).argmax(axis=1) == here  # a pair is looked at in its first common band
-            if across:
-                close &= own[i] != own[i + 1 :]
-            for j in (np.flatnonzero(close) + i + 1).tolist():
-                a, b = root(comp[i]), root(comp[j])
-                if a != b and linked(of(i), of(j), threshold):
-                    parent[a] = b
-                    links.append((node[i], node[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return found.union(placed.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long"))
+    group = ["key", "i", "j"]
+    # First by packed words alone, then the texts of those that may have a partner.
+    some = placed.groupBy(*group).applyInPandas(lambda g: _with_partners(g, threshold), "key long, i int, j int, own int, node long, component long")
+    some = stage_table(some, "partners")
+    whole = some.join(nodes.select("node", "n_shingles", "bands", *_words()), "node").join(texts, "node")
+    links = stage_table(whole.groupBy(*group).applyInPandas(lambda g: _links_within(g, threshold), "a long, b long"), "links")
+    drop_tables(inside, members, some)
+    return found.union(links)
+
+
+def _close(group: pd.DataFrame, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a group of two blocks (or of one), the rows after it in the other that may reach the threshold and aren't in its component."""
+    w = np.ascontiguousarray(group[_words()].to_numpy(dtype=np.int64)).view(np.uint64)
+    n, own, component = (group[c].to_numpy() for c in ("n_shingles", "own", "component"))
+    across = group["i"].iloc[0] != group["j"].iloc[0]
+    for i in range(len(group) - 1):
+        may = component[i + 1 :] != component[i]
+        may &= 100 * np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :])
+        if across:
+            may &= own[i + 1 :] != own[i]
+        at = np.flatnonzero(may) + i + 1
+        x = w[i] ^ w[at]
+        y = x | (x >> np.uint64(1))
+        y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
+        agree = 1 - np.bitwise_count(y).sum(axis=1) / HASHES
+        yield i, at[(agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= least_estimate(threshold)]
+
+
+def _with_partners(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """The rows of a group that have any other close to them."""
+    good = np.zeros(len(group), bool)
+    for i, at in _close(group, threshold):
+        good[at] = True
+        good[i] |= len(at) > 0
+    return group.loc[good, ["key", "i", "j", "own", "node", "component"]]
+
+
+def _links_within(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Confirmed links of a group that join components; each pair is looked at in its first common band."""
+    bands, node, component, texts = np.stack(group["bands"].to_numpy()), group["node"].to_numpy(), group["component"].to_numpy(), group["text"].to_numpy()
+    here = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
+    parent, sets, links = {c: c for c in component}, {}, []
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    def of(i):
+        if i not in sets:
+            sets[i] = shingle_sets(pa.array([texts[i]], pa.string()))[0]
+        return sets[i]
+
+    for i, at in _close(group, threshold):
+        for j in at[(bands[i] == bands[at]).argmax(axis=1) == here].tolist():
+            a, b = root(component[i]), root(component[j])
+            if a != b and linked(of(i), of(j), threshold):
+                parent[a] = b
+                links.append((node[i], node[j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -310,37 +345,40 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed = stage_table(signatures(docs), "signatures")
     full = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     equal = stage_table(full.groupBy("same").agg(F.min("doc_id").alias("node")), "equal-sets")
-    member = stage_table(full.select("doc_id", "same").join(equal, "same").select("doc_id", "node").distinct(), "members")
-    words = [f"s{k}" for k in range(HASHES // 16)]
-    nodes = stage_table(full.join(equal, "same").where("doc_id = node").select("node", "n_shingles", "bands", *words).dropDuplicates(["node"]), "nodes")
+    member = stage_table(full.select("doc_id", "same").join(equal, "same").select("doc_id", "node"), "member-nodes")
+    own = (full["same"] == equal["same"]) & (full["doc_id"] == equal["node"])  # at most once, so no key is hot
+    nodes = full.join(equal, own).select("node", "n_shingles", "bands", *_words()).dropDuplicates(["node"])
+    nodes = stage_table(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = stage_table(banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = stage_table(banded.join(buckets, "key").select("node", "first").distinct(), "shared-buckets")
     stars = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     # Only texts of nodes that share a bucket are needed again; the whole table is shuffled this once.
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = stage_table(texts.join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    texts = stage_table(texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "texts")
     # Rows of one doc_id with different texts are one document, so a doc_id's nodes are linked with it.
-    own = member.where("doc_id <> node").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = stage_table(_confirmed(_screened(stars, nodes, threshold), texts, threshold).union(own), "star-links")
-    more = stage_table(_between_components(nodes, texts, components(found), buckets, threshold), "further-links")
-    label = components(found.union(more))
+    doubled = member.where("doc_id <> node").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = _confirmed(_screened(stars, nodes, threshold), texts, threshold).union(doubled)
+    drop_tables(shared)
+    more = _between_components(nodes, texts, components(links), buckets, threshold)
+    label = components(links.union(more))
     per_doc = member.join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     own_label = stage_table(per_doc.groupBy("doc_id").agg(F.min("component").alias("component_id")), "components")
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(own_label, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    told = stage_table(signed.select("doc_id", "n_shingles"), "set-sizes")
+    drop_tables(signed, equal, member, nodes, buckets, texts)
+    labelled = told.where("doc_id IS NOT NULL").join(own_label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    unnamed = told.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return labelled.union(unnamed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each group of near copies, with the columns of ``docs``; of repeated rows of one doc_id one stays.
+    """One row of each group of near copies, with the columns of ``docs``; of repeated rows of one doc_id the one of lowest hash stays.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay.  Texts are shuffled once, by doc_id.
     """
-    kept = stage_table(near_copies(docs, threshold).where("kept").select("doc_id").distinct(), "kept")
-    kept = kept.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "kept_id")
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where(docs["doc_id"].isNull()))
+    kept = stage_table(near_copies(docs, threshold).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
+    id_, nth = (free_name(docs, x) for x in ("near_doc_id", "near_nth"))
+    named = docs.withColumn(id_, F.col("doc_id").cast("long")).where(F.col(id_).isNotNull())
+    order = Window.partitionBy(id_).orderBy(F.xxhash64(*own_columns(docs)))
+    rows = named.join(kept.withColumnRenamed("doc_id", id_), id_, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return rows.select(*own_columns(docs)).union(docs.where(F.col("doc_id").cast("long").isNull()))
