@@ -71,5 +71,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_telephony, op3_mixing, op4_near_copies, op5_token_files, op6_vector_search, op7_page_text, op8_token_counts, op9_personal_data, op10_language)}
 
 
+#: op4 by all pairs of shingles: sets, pairs that share a shingle, links, and what links reach.
+_NEAR_COPIES = r"""WITH RECURSIVE words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other)
+SELECT r.doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op4 is SQL as a whole; the others need tokenizers, training, codecs, drawn copies or regular expressions with context."""
+    return {"op4_near_copies": _NEAR_COPIES}
