@@ -4,6 +4,11 @@ Each stage takes the documents that the one before left (as a table that was wri
 calls one operator on all of them.  Documents whose language is rejected go; one document of each group of
 near copies stays; personal data is masked; documents are repeated or left out so that sources come near
 their target weights; what remains is packed into sequences of power-of-two lengths.
+
+Null and letterless texts go with the first stage (all of them, and nothing else, where no row has a language to
+learn from).  Null doc_ids are linked with nothing and stay; of repeated rows of one doc_id one stays; a null source
+is a source; other columns, whatever their names, are carried along up to the last stage; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaitprint.llm import language, mixing, near_copies, packing, personal_data
-from gaitprint.llm.common import ship_package, stage_table
+from gaitprint.llm.common import drop_tables, ship_package, stage_table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
