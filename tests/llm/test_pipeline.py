@@ -28,6 +28,37 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(r["sequence_id"] for r in packed) == list(range(len(packed))) and {r["doc_id"] for r in packed} == {r["doc_id"] for r in left["mixing"]}
 
 
+def run_stages(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, at, folder)
+        assert made.columns == docs.columns
+        made.write.parquet(f"{folder}/{name}")
+        at = spark.read.parquet(f"{folder}/{name}")
+    return at, corpus_pipeline.run(spark, folder)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, node string, text_a string, rate string, copies string, near_nth string, row string, pii_spans string, score string"
+
+
+def test_nulls_repeats_clashes_and_no_labels(spark, tmp_path):
+    odd = ["c"] * 8
+    texts = [(1, "one and two and three and four", "s"), (1, "one and two and three and four", "s"), (2, None, "s"), (None, "no id but some words here", None), (None, "no id but some words here", None), (3, "", "t"), (4, "12 !", "t"), (5, "write to a@b.cd now please", None)]
+    docs = spark.createDataFrame([(i, t, None, source, None, *odd) for i, t, source in texts], CLASHES)
+    left, packed = run_stages(spark, docs, str(tmp_path))
+    rows = left.collect()
+    # The mix may take any row up to three times, but only those that the stages before kept, as they left them.
+    assert {(r["doc_id"], r["text"]) for r in rows} <= {(1, texts[0][1]), (None, texts[3][1]), (5, "write to [EMAIL] now please")} and rows
+    assert all(r[c] == "c" for r in rows for c in docs.columns[5:])
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in rows}
+
+
+def test_empty_table(spark, tmp_path):
+    left, packed = run_stages(spark, spark.createDataFrame([], CLASHES), str(tmp_path))
+    assert left.count() == 0 and packed.count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{k}" for k in range(1, 11))
     assert language.UNKNOWN == "und" and near_copies.THRESHOLD == 80
