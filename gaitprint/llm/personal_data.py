@@ -11,6 +11,8 @@ possessive loops, and starts only where a run of the first class begins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,23 +76,32 @@ _WORDS_AGAINST = {
     "iban": r"(?i)\b(?:serial|model|part)\b",
     "ssn": r"(?i)\b(?:serial|part|order|isbn)\b",
 }
-#: Numbers of one block of the running sums below.
-_BLOCK = 512
+#: Numbers of one block of the scans below, and code points of one piece of a text that is masked.
+_BLOCK, _PIECE = 512, 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body, or a function in it, reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _running(sizes: Column, key: str) -> Column:
-    """Sum of ``key`` over all earlier elements, for each element; in blocks, so that long arrays don't cost their square."""
+def _scan(values: Column, zero: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array what ``combine`` makes of all before it; in blocks, so that long arrays don't cost their square."""
 
     def within(block: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        start = F.struct(F.lit(zero).cast("long").alias("all"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["all"], x).alias("all"), F.concat(acc["out"], F.array(acc["all"])).alias("out"))
         return F.aggregate(block, start, step)
 
-    values = F.transform(sizes, lambda x: x[key].cast("long"))
-    count = F.ceil(F.size(values) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: within(F.slice(values, i * _BLOCK + 1, F.lit(_BLOCK))))
-    bases = within(F.transform(blocks, lambda b: b["sum"]))["out"]
-    return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b["out"], lambda x: x + base)))
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / _BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: within(F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def joined(each: Column) -> Column:
+        bases = within(F.transform(each, lambda b: b["all"]))["out"]
+        return F.flatten(F.zip_with(each, bases, lambda b, base: F.transform(b["out"], lambda x: combine(x, base))))
+
+    return _let(_let(values, blocks), joined)
 
 
 def _luhn(digits: Column) -> Column:
@@ -133,19 +144,20 @@ def _confirmed(kind: str, found: Column) -> Column:
 
 def _kind_spans(text: Column, kind: str) -> Column:
     """Spans of one kind in a text: start, rank of the kind, kind, end (exclusive), score; in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    pieces = F.split(text, PATTERNS[kind], -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
     rank = KINDS.index(kind)
-    parts = F.transform(
-        F.arrays_zip(found.alias("found"), F.slice(pieces, F.lit(1), F.size(found)).alias("before"), F.slice(pieces, F.lit(2), F.size(found)).alias("after")),
-        lambda x: F.struct(
-            x["found"].alias("found"),
-            F.length(x["before"]).alias("gap"),
-            (F.length(x["before"]) + F.length(x["found"])).alias("step"),
-            F.concat(F.right(x["before"], F.lit(NEAR)), F.lit(" "), F.left(x["after"], F.lit(NEAR))).alias("near"),
-        ),
-    )
+    cut = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("found"), F.split(text, PATTERNS[kind], -1).alias("pieces"))
+
+    def parts(c: Column) -> Column:
+        n = F.size(c["found"])
+        return F.transform(
+            F.arrays_zip(c["found"].alias("found"), F.slice(c["pieces"], F.lit(1), n).alias("before"), F.slice(c["pieces"], F.lit(2), n).alias("after")),
+            lambda x: F.struct(
+                x["found"].alias("found"),
+                F.length(x["before"]).alias("gap"),
+                (F.length(x["before"]) + F.length(x["found"])).cast("long").alias("step"),
+                F.concat(F.right(x["before"], F.lit(NEAR)), F.lit(" "), F.left(x["after"], F.lit(NEAR))).alias("near"),
+            ),
+        )
 
     def span(x: Column, at: Column) -> Column:
         score = F.lit(_START[kind]) + F.when(F.rlike(x["near"], F.lit(_WORDS_FOR[kind])), _FOR).otherwise(0.0)
@@ -159,7 +171,8 @@ def _kind_spans(text: Column, kind: str) -> Column:
             _confirmed(kind, x["found"]).alias("good"),
         )
 
-    spans = F.zip_with(parts, _running(parts, "step"), span)
+    add = lambda a, b: a + b
+    spans = _let(_let(cut, parts), lambda p: F.zip_with(p, _scan(F.transform(p, lambda x: x["step"]), 0, add), span))
     good = F.filter(spans, lambda s: s["good"] & (F.lit(kind in BASE_KINDS) | (s["score"] >= MIN_SCORE)))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double,good:boolean>>")
     return F.coalesce(F.when(_HINTS[kind](text), good), empty)
@@ -180,33 +193,44 @@ def _joined(spans: Column) -> Column:
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 (of the base spans as text) and spans (all of them as text)."""
+    """doc_id, counts of the base kinds, base_sha256 (of the base spans as text), spans (all of them as text) and their scores.
+
+    Null and empty texts have no spans (counts 0, empty texts, the hash of an empty text); null doc_ids and
+    repeated rows stay; an empty table gives no rows.
+    """
     found = find_spans(docs.select("doc_id", "text")).select("doc_id", "pii_spans")
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii_spans", lambda s: s["rank"] < len(BASE_KINDS))
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
+    scores = F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"), scores.alias("scores"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in square brackets; same columns.
 
-    Of overlapping spans the first takes the place of all.  Null texts stay null.  An n_chars column is
-    set to the new length.
+    Of overlapping spans the first takes the place of all.  Null texts stay null, null doc_ids and repeated rows
+    stay, an empty table gives no rows.  An n_chars column is set to the new length.  The text is put together
+    from pieces of bounded length, so many spans in one long text cost no more each than few.
     """
     spans = free_name(docs, "pii_spans")
     found, any_ = find_spans(docs, spans), F.size(spans) > 0
     text = F.col("text")
 
-    def add(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(inside, acc["out"]).otherwise(out).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _PIECE).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, F.floor(end / _PIECE).cast("int") - first + 1), "")
+        return F.substring(some, (start - first * _PIECE + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    changed = found.withColumn("text", F.when(any_, F.aggregate(spans, start, add, rest)).otherwise(text))
+    def rebuilt(c: Column) -> Column:
+        ends = F.transform(c["spans"], lambda s: s["end"])
+        seen = _scan(ends, 0, lambda a, b: F.greatest(a, b))
+        one = lambda s, at: F.when(s["start"] >= at, F.concat(between(c["pieces"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        # The last piece may be empty, so that a cut can end where the text does.
+        return F.concat(F.array_join(F.zip_with(c["spans"], seen, one), ""), between(c["pieces"], F.array_max(ends), F.length(text).cast("long")))
+
+    cut = F.struct(F.col(spans).alias("spans"), F.concat(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), F.array(F.lit(""))).alias("pieces"))
+    changed = found.withColumn("text", F.when(any_, _let(cut, rebuilt)).otherwise(text))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.when(any_, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return changed.select(*own_columns(docs))
-

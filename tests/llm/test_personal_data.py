@@ -1,0 +1,94 @@
+"""Personal data: the base kinds against plain regular expressions, and masks against plain slicing."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaitprint.llm import personal_data
+
+# The base kinds' patterns.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(int(d) if k % 2 == 0 else sum(map(int, str(2 * int(d)))) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    """(start, kind's place, kind, end) of every confirmed match."""
+    out = []
+    for place, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                "card": 12 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), place, kind, m.end()))
+    return sorted(out)
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
+
+
+def fuzz(rng):
+    parts = ["a.b@c.de", "x@y", "@", "10.0.0.1", "1.2.3.256", "007.1.1.1", ".1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "+1 (743) 555-3824", "+49-30.1234 567", "+1", "é", "😀", " ", "-", ".", "9", "0123456789", "\n", "A", "_%+", "b.c-d.ef"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+
+
+def test_base_kinds_are_what_plain_patterns_find(spark):
+    rng = random.Random(8)
+    texts = [None, "", *(fuzz(rng) for _ in range(1500)), *("".join(rng.choice("1234 -.+@a") for _ in range(rng.randint(1, 60))) for _ in range(1500))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x@y.z"), (3, texts[3])], "doc_id long, text string")
+    got = personal_data.span_digest(docs.repartition(4)).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        text = "x@y.z" if r["doc_id"] is None else texts[r["doc_id"]]
+        spans = base_spans(text)
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(s[2] == k for s in spans) for k in PLAIN], text
+        assert r["base_sha256"] == digest(spans), text
+        told = [x for x in r["spans"].split(",") if x]
+        assert [x for x in told if x.split(":")[0] in PLAIN] == [f"{k}:{a}:{b}" for a, _, k, b in spans]
+        assert len(told) == len([x for x in r["scores"].split(",") if x])
+
+
+@pytest.mark.parametrize("text", ["a@b.c " * 160_000, "1 " * 300_000 + "a@b.c", "10.0.0.1," * 20_000 + "+1 (743) 555-3824 " * 5_000])
+def test_many_spans_in_one_long_text(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = personal_data.span_digest(docs).first()
+    spans = base_spans(text)
+    assert row["base_sha256"] == digest(spans) and row["n_email"] == sum(s[2] == "email" for s in spans)
+    masked = personal_data.mask(docs).first()["text"]
+    assert masked == masked_plainly(text, spans)
+
+
+def masked_plainly(text, spans):
+    out, at = [], 0
+    for start, _, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_masks_are_plain_slices(spark):
+    rng = random.Random(9)
+    texts = [None, "", "a@b.c", "x" * 1024 + "a@b.c" + "y" * 1024, "é😀" * 512 + " +1 (743) 555-3824", *("".join(fuzz(rng) for _ in range(rng.choice((1, 3, 200)))) for _ in range(200))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["pii_spans"]] for r in personal_data.find_spans(docs).collect()}
+    for r in personal_data.mask(docs).collect():
+        text = texts[r["doc_id"]]
+        assert r["text"] == (text if not found[r["doc_id"]] else masked_plainly(text, found[r["doc_id"]]))
+    assert personal_data.mask(docs.where(F.lit(False))).count() == 0
