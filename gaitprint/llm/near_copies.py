@@ -257,28 +257,35 @@ def _between_components(nodes: DataFrame, texts: DataFrame, joined: DataFrame, b
     )
     found = _confirmed(_screened(pairs, nodes, threshold), texts, threshold)
 
-    # Large buckets are cut into blocks of about BLOCK nodes: first those outside of the largest component, then that
-    # component's.  Blocks meet two by two, but not two of the largest component; if it holds nearly all of a bucket,
-    # each of its nodes is met once.
+    placed = _placed(members.where(F.col("n") > SMALL), nodes)
+    group = ["key", "i", "j"]
+    # First by packed words alone, then the texts of those that may have a partner.
+    some = placed.groupBy(*group).applyInPandas(lambda g: _with_partners(g, threshold), "key long, i int, j int, own int, node long, component long")
+    some = stage_table(some, "partners")
+    whole = some.join(nodes.select("node", "n_shingles", "bands", *_words()), "node").join(texts, "node")
+    links = stage_table(whole.groupBy(*group).applyInPandas(lambda g: _links_within(g, threshold), "a long, b long"), "links")
+    drop_tables(inside, members, some)
+    return found.union(links)
+
+
+def _placed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of large buckets (key, n, node, n_shingles, component, and the largest one as bulk, bulk_n) with the pairs of blocks i, j they meet in.
+
+    Buckets are cut into blocks of about BLOCK nodes: first those outside of the largest component, then that
+    component's.  Blocks meet two by two, but not two of the largest component; if it holds nearly all of a
+    bucket, each of its nodes is met once.
+    """
     minor = F.col("component") != F.col("bulk")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    many = members.where(F.col("n") > SMALL).withColumn("outside", blocks(F.col("n") - F.col("bulk_n"))).withColumn("all", F.col("outside") + blocks(F.col("bulk_n")))
+    many = members.withColumn("outside", blocks(F.col("n") - F.col("bulk_n"))).withColumn("all", F.col("outside") + blocks(F.col("bulk_n")))
     hashed = F.xxhash64("node")
     own = F.when(minor, F.pmod(hashed, "outside")).otherwise(F.col("outside") + F.pmod(hashed, F.col("all") - F.col("outside"))).cast("int")
-    placed = (
+    return (
         many.join(nodes.select("node", *_words()), "node")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("all")).otherwise(F.col("outside")) - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "component", *_words())
     )
-    group = ["key", "i", "j"]
-    # First by packed words alone, then the texts of those that may have a partner.
-    some = placed.groupBy(*group).applyInPandas(lambda g: _with_partners(g, threshold), "key long, i int, j int, own int, node long, component long")
-    some = stage_table(some, "partners")
-    whole = some.join(nodes.select("node", "n_shingles", "bands", *_words()), "node").join(texts, "node")
-    links = stage_table(whole.groupBy(*group).applyInPandas(lambda g: _links_within(g, threshold), "a long, b long"), "links")
-    drop_tables(inside, members, some)
-    return found.union(links)
 
 
 def _close(group: pd.DataFrame, threshold: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -181,6 +181,18 @@ def test_near_copies(spark, monkeypatch, threshold):
     assert near_copies.near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("minor", "most"), [(10, 20_500), (10_000, 620_000)])
+def test_a_large_bucket_meets_its_largest_component_once(spark, minor, most):
+    n = 20_000
+    nodes = spark.range(n).selectExpr("id AS node", *(f"xxhash64(id, {k}) AS s{k}" for k in range(8)))
+    members = spark.range(n).selectExpr("1L AS key", f"{n}L AS n", "id AS node", "100L AS n_shingles", f"CASE WHEN id < {minor} THEN id ELSE {minor} END AS component", f"{minor}L AS bulk", f"{n - minor}L AS bulk_n")
+    placed = near_copies._placed(members, nodes).persist()
+    assert placed.count() <= most and placed.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] < 3 * near_copies.BLOCK
+    # Every node outside meets every node, and none of them twice.
+    few = placed.where("node < 2").select("i", "j", F.col("own").alias("mine"), F.col("node").alias("a")).join(placed, ["i", "j"]).where("i = j OR mine <> own")
+    assert few.groupBy("a").agg(F.count_distinct("node").alias("d"), F.count("node").alias("c")).where(f"d <> {n} OR c <> {n}").count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_copies.components(links).collect()}
