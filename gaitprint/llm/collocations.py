@@ -165,9 +165,9 @@ def filter_of(rows: DataFrame) -> Seen:
                         bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["at", "bit"])
 
-    found = rows.select("lang", "word", "following").mapInArrow(places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    found = rows.select("lang", "word", "following").mapInArrow(places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    bits[found["at"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).view(np.uint64)
+    bits[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
     return Seen(bits)
 
 

@@ -9,11 +9,13 @@ logistic regression over the scaled features is then fitted in numpy on a bounde
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,9 +149,9 @@ def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "n"])
 
-    cells = rows.select("text", "y").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = rows.select("text", "y").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     whole = np.zeros(2 * buckets + 2, np.int64)
-    whole[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    whole[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return whole[: 2 * buckets].reshape(buckets, 2), whole[2 * buckets :]
 
 
@@ -176,17 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         for batch in slices(batches, "text", limit=1 << 20):
             row, bucket = features(batch.column(1), shared.value)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], names=["doc_id", "y", "buckets"])
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))
+            key = [zlib.crc32(bucket[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(key, pa.int64()), lists], names=["doc_id", "y", "key", "buckets"])
 
-    sample = labelled(drawn(docs), drawn(labels)).mapInArrow(scaled, "doc_id long, y long, buckets array<int>").toPandas()
+    sample = labelled(drawn(docs), drawn(labels)).mapInArrow(scaled, "doc_id long, y long, key long, buckets array<int>").toArrow()
     if not len(sample):
         return plain
-    sample["buckets"] = [np.asarray(b, np.int64) for b in sample["buckets"]]
-    sample["key"] = [b.tobytes() for b in sample["buckets"]]
-    sample = sample.sort_values(["doc_id", "y", "key"])  # the same order in every run
-    lengths = sample["buckets"].map(len).to_numpy(np.int64)
-    bucket = np.concatenate(list(sample["buckets"]))
-    return regression(np.repeat(np.arange(len(sample)), lengths), bucket, sample["y"].to_numpy(np.float64), scale)
+    sample = sample.take(pc.sort_indices(sample, [(n, "ascending") for n in ("doc_id", "y", "key")])).combine_chunks()  # the same order in every run
+    lengths, bucket = pc.list_value_length(sample["buckets"]).to_numpy(), pc.list_flatten(sample["buckets"]).to_numpy()
+    return regression(np.repeat(np.arange(len(sample), dtype=np.int32), lengths), bucket, sample["y"].to_numpy().astype(np.float64), scale)
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
