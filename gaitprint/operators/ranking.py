@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitprint.operators import prefix
+
 TARGET_RECALL, MAX_FPR = 0.70, 0.01
 
 
@@ -19,14 +21,13 @@ def check_scores(scored: DataFrame, keys: list[str]) -> None:
 def pr_curve(scored: DataFrame, keys: list[str], complete: bool = False) -> DataFrame:
     """keys, score, n, pos (of the tie group), k, tp (down to it), p, total (in all), precision, recall.
 
-    ``scored`` has y (0/1) and score.  Ties are collapsed before any order is needed, so the window holds
-    distinct scores of a key only.  Keys without positives give no rows, or, if the curve is to be ``complete``,
-    rows whose precision and recall are null.
+    ``scored`` has y (0/1) and score.  Ties are collapsed first, so a tie group is one row; the rest is a running
+    sum over parts cut by score (:mod:`gaitprint.operators.prefix`), so a key of any size is many tasks.  Keys without
+    positives give no rows, or, if the curve is to be ``complete``, rows whose precision and recall are null.
     """
     ties = scored.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("pos"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    curve = ties.select(*keys, "score", "n", "pos", F.sum("n").over(down).alias("k"), F.sum("pos").over(down).alias("tp"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("total"))
+    curve = prefix.running(ties, keys, [F.desc("score")], {"k": "n", "tp": "pos"}, {"p": "pos", "total": "n"}, "curve")
+    curve = curve.select(*keys, "score", "n", "pos", "k", "tp", "p", "total")
     curve = curve.withColumns({"precision": F.when(F.col("p") > 0, F.col("tp") / F.col("k")), "recall": F.try_divide("tp", "p")})
     return curve if complete else curve.where("p > 0")
 

@@ -10,37 +10,33 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
-from gaitprint.sources.staging import bucketed_table
+from gaitprint.operators import prefix
+from gaitprint.sources.staging import bucketed_table, stage_table
 
-_OVER = "OVER (PARTITION BY cookie_id ORDER BY rn)"
 _BEFORE = "OVER (PARTITION BY cookie_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _SO_FAR = "OVER (PARTITION BY cookie_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 SPARK = {
-    "last": lambda x: f"last_value({x}) IGNORE NULLS {_BEFORE}",
     "struct": lambda **k: "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in k.items()) + ")",
-    "percentile": lambda x, q: f"percentile({x}, {q}D)",
     "digits": r"regexp_count(search_query, '(?U)\\d')",
     "cyrillic": "regexp_count(search_query, '[а-яё]')",
     "words": "size(split(search_query, ' '))",
 }
 
 
-def looked_back(d: dict) -> dict[str, str]:
-    """Columns of what came before a row; each subset of rows has its own last row."""
+def last_of(d: dict) -> dict[str, str]:
+    """What a row needs of the rows before it: each name is the last value, not null, of its expression."""
     return {
-        "pt": f"lag(t) {_OVER}", "pn": f"lag(nn) {_OVER}", "pt2": f"lag(t, 2) {_OVER}", "pn2": f"lag(nn, 2) {_OVER}",
-        "p_cat": f"lag(coalesce(item_category, 'missing')) {_OVER}", "p_loc": f"lag(coalesce(item_location, 'missing')) {_OVER}",
-        "p_plat": f"lag(coalesce(platform, 'missing')) {_OVER}", "p_ua": f"lag(coalesce(user_agent, 'missing')) {_OVER}",
-        "lv": d["last"](f"CASE WHEN {C.ACTIONS['views']} THEN t END"),
-        "lc": d["last"](f"CASE WHEN {C.ACTIONS['contacts']} THEN t END"),
-        "ls": d["last"](f"CASE WHEN {C.ACTIONS['searches']} THEN {d['struct'](t='t', q="coalesce(search_query, '')", page='search_page')} END"),
-        "lp": d["last"](f"CASE WHEN search_page IS NOT NULL THEN {d['struct'](t='t', page='search_page')} END"),
-        "lx": d["last"](f"CASE WHEN pointer_x IS NOT NULL AND pointer_y IS NOT NULL THEN {d['struct'](x='pointer_x', y='pointer_y', t='t')} END"),
+        "pt": "t", "pn": "nn", "p_cat": "coalesce(item_category, 'missing')", "p_loc": "coalesce(item_location, 'missing')",
+        "p_plat": "coalesce(platform, 'missing')", "p_ua": "coalesce(user_agent, 'missing')",
+        "lv": f"CASE WHEN {C.ACTIONS['views']} THEN t END", "lc": f"CASE WHEN {C.ACTIONS['contacts']} THEN t END",
+        "ls": f"CASE WHEN {C.ACTIONS['searches']} THEN {d['struct'](t='t', q="coalesce(search_query, '')", page='search_page')} END",
+        "lp": f"CASE WHEN search_page IS NOT NULL THEN {d['struct'](t='t', page='search_page')} END",
+        "lx": f"CASE WHEN pointer_x IS NOT NULL AND pointer_y IS NOT NULL THEN {d['struct'](x='pointer_x', y='pointer_y', t='t')} END",
     }
 
 
@@ -57,7 +53,12 @@ def derived(d: dict) -> dict[str, str]:
     }
 
 
-NUMBERED = {"sid_300": f"sum(new_300) {_SO_FAR}", "sid_1800": f"sum(new_1800) {_SO_FAR}", "run": f"sum(new_run) {_SO_FAR}"}
+#: As :func:`last_of`, of the derived columns: the time and name two rows back, the last pointer step that took time, the last kept rhythm.
+LAST_DERIVED = {"pt2": "pt", "pn2": "pn", "back": f"CASE WHEN dt > 0 THEN {SPARK['struct'](dx='dx', dy='dy', len='len')} END"} | {
+    f"pv_{f}": f"CASE WHEN {C.NUMBERS[f][0]} THEN CAST({C.NUMBERS[f][1]} AS double) END" for f in C.CADENCES
+}
+#: Numbers of sessions and runs: how many began down to a row.
+COUNTED = {"sid_300": "new_300", "sid_1800": "new_1800", "run": "new_run"}
 VALUE_STATS = {"n": "sum(c)", "k": "count(*)", "top": "max(c)", "entropy": "log2(sum(c)) - sum(c * log2(c)) / sum(c)", "hhi": "sum(CAST(c AS double) * c) / (CAST(sum(c) AS double) * sum(c))"}
 
 
@@ -65,18 +66,21 @@ NUMBER_STATS = {"n": "count(*)", "mean": "avg(v)", "std": "stddev_pop(v)", "max"
 QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}
 
 
-RHYTHM_STATS = {
-    "near": C.share("abs(v - m) <= greatest(0.2D * m, 1)"),
-    "autocorrelation": "CASE WHEN count(*) >= 3 THEN covar_pop(CASE WHEN nv IS NOT NULL THEN v END, nv) / nullif(stddev_pop(CASE WHEN nv IS NOT NULL THEN v END) * stddev_pop(nv), 0) END",
-}
+#: Of the rows of a rhythm with the one before (pv), and of its distinct values with their counts (c) and distances (d) from the median m.
+PAIR_STATS = {"autocorrelation": "CASE WHEN count(*) >= 3 THEN covar_pop(CASE WHEN pv IS NOT NULL THEN v END, pv) / nullif(stddev_pop(CASE WHEN pv IS NOT NULL THEN v END) * stddev_pop(pv), 0) END"}
+NEAR_STATS = {"near": "sum(CASE WHEN d <= greatest(0.2D * m, 1) THEN c ELSE 0 END) / CAST(sum(c) AS double)"}
+RHYTHM_STATS = ("near", "autocorrelation")
 
 
 def sequence_columns(described: DataFrame) -> DataFrame:
-    """Described clean events with everything the families need of a row and of what came before it."""
-    df = described
-    for step in (looked_back(SPARK), derived(SPARK), NUMBERED):
-        df = df.withColumns({n: F.expr(x) for n, x in step.items()})
-    return df
+    """Described clean events with everything the families need of a row and of what came before it.
+
+    A visitor's rows are one window; :mod:`gaitprint.operators.segments` gives the same columns where they are too many.
+    """
+    before = lambda x: F.expr(f"last_value({x}) IGNORE NULLS {_BEFORE}")
+    df = described.withColumns({n: before(x) for n, x in last_of(SPARK).items()})
+    df = df.withColumns({n: F.expr(x) for n, x in derived(SPARK).items()})
+    return df.withColumns({n: before(x) for n, x in LAST_DERIVED.items()} | {n: F.expr(f"sum({x}) {_SO_FAR}") for n, x in COUNTED.items()})
 
 
 def _agg(df: DataFrame, keys: list[str], stats: dict[str, str]) -> DataFrame:
@@ -125,9 +129,17 @@ ITEM_STATS = {
 FIRST_VIEW = "min(CASE WHEN nn = 'item_view' THEN t END) OVER (PARTITION BY cookie_id, item_id)"
 
 
-def items(seq: DataFrame) -> DataFrame:
-    """cookie_id, item_id: events, action types, which actions it had, and seconds from its first view to the next contact."""
-    return _agg(seq.where("item_id IS NOT NULL").withColumn("fv", F.expr(FIRST_VIEW)), ["cookie_id", "item_id"], ITEM_STATS)
+def items(seq: DataFrame, spread: bool = False) -> DataFrame:
+    """cookie_id, item_id: events, action types, which actions it had, and seconds from its first view to the next contact.
+
+    With ``spread`` no window holds an item's rows: first views are aggregates that only contacts are joined with.
+    """
+    rows, keys = seq.where("item_id IS NOT NULL"), ["cookie_id", "item_id"]
+    if not spread:
+        return _agg(rows.withColumn("fv", F.expr(FIRST_VIEW)), keys, ITEM_STATS)
+    views = _agg(rows.where("nn = 'item_view'"), keys, {"fv": "min(t)"})
+    latency = _agg(rows.where(C.CONTACT).join(views, keys).where("t >= fv"), keys, {"latency": "min(t - fv)"})
+    return _agg(rows, keys, {n: x for n, x in ITEM_STATS.items() if n != "latency"}).join(latency, keys, "left")
 
 
 QUERY_ROWS = "nn = 'search_results_view' AND search_query IS NOT NULL AND search_page IS NOT NULL"
@@ -138,13 +150,12 @@ def query_depths(seq: DataFrame) -> DataFrame:
     return _agg(seq.where(QUERY_ROWS), ["cookie_id", "search_query"], QUERY_STATS)
 
 
-TURN_BACK = {c: f"lag({e}) {_OVER}" for c, e in (("back_x", "dx"), ("back_y", "dy"), ("back_len", "len"))}
 COSINE = "(dx * back_x + dy * back_y) / nullif(len * back_len, 0)"
 
 
 def turn_cosines(seq: DataFrame) -> DataFrame:
     """Cosine between neighbouring pointer steps, after steps without time are left out."""
-    steps = seq.where("dt > 0").withColumns({n: F.expr(x) for n, x in TURN_BACK.items()})
+    steps = seq.where("dt > 0").selectExpr("cookie_id", "dx", "dy", "len", "back.dx AS back_x", "back.dy AS back_y", "back.len AS back_len")
     return steps.select("cookie_id", F.expr(COSINE).alias("cosine"))
 
 
@@ -152,18 +163,19 @@ def turns(seq: DataFrame) -> DataFrame:
     return _agg(turn_cosines(seq), ["cookie_id"], C.TURN_SCALARS)
 
 
-def numbers(seq: DataFrame, families: set[str] | None = None) -> DataFrame:
-    """The long table of all number families, or of some: cookie_id, fam, pos, v."""
+def numbers(seq: DataFrame, families: set[str] | None = None, spread: bool = False) -> DataFrame:
+    """The long table of all number families, or of some: cookie_id, fam, v, and pv, the value before (of rhythms)."""
     wanted = set(C.ALL_NUMBERS) if families is None else families
-    each = F.array(*[F.expr(f"CASE WHEN {c} THEN named_struct('fam', '{n}', 'v', CAST({v} AS double)) END") for n, (c, v) in C.NUMBERS.items() if n in wanted])
-    parts = [seq.select("cookie_id", F.col("rn").alias("pos"), F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "pos", "x.v")]
+    prior = lambda n: f"pv_{n}" if n in C.CADENCES else "CAST(NULL AS double)"
+    each = F.array(*[F.expr(f"CASE WHEN {c} THEN named_struct('fam', '{n}', 'v', CAST({v} AS double), 'pv', {prior(n)}) END") for n, (c, v) in C.NUMBERS.items() if n in wanted])
+    parts = [seq.select("cookie_id", F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "x.v", "x.pv")]
 
     def unpivot(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
         each = F.array(*[F.expr(f"CASE WHEN {c} IS NOT NULL THEN named_struct('fam', '{n}', 'v', CAST({c} AS double)) END") for n, c in pairs.items()])
-        return df.select("cookie_id", F.lit(0).alias("pos"), F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "pos", "x.v")
+        return df.select("cookie_id", F.explode(F.array_compact(each)).alias("x")).select("cookie_id", "x.fam", "x.v", F.lit(None).cast("double").alias("pv"))
 
     more = [(lambda c=c: sessions(seq, c), {f"session_{c}_{s}": s for s in ("size", "span", "cv")}) for c in C.CUTOFFS]
-    more.append((lambda: items(seq), {"per_item_events": "events", "per_item_action_types": "types", "contact_latency": "latency"}))
+    more.append((lambda: items(seq, spread), {"per_item_events": "events", "per_item_action_types": "types", "contact_latency": "latency"}))
     more.append((lambda: query_depths(seq), {"per_query_depth": "depth"}))
     for source, pairs in more:
         if own := {n: c for n, c in pairs.items() if n in wanted}:
@@ -171,26 +183,50 @@ def numbers(seq: DataFrame, families: set[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def number_statistics(long: DataFrame) -> DataFrame:
-    """cookie_id, fam: count, mean, population std, max, std of log1p, and interpolated quantiles (one pass for all of them)."""
-    at = ", ".join(f"{q}D" for q in QUANTILES.values())
-    found = _agg(long, ["cookie_id", "fam"], NUMBER_STATS | {"quantiles": f"percentile(v, array({at}))"})
-    return found.select("cookie_id", "fam", *NUMBER_STATS, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(QUANTILES)])
+FAMILY = ["cookie_id", "fam"]
+
+
+def frequencies(long: DataFrame) -> DataFrame:
+    """cookie_id, fam, v, c: how often each number occurs (-0.0 is 0.0)."""
+    return _agg(long.select(*FAMILY, (F.col("v") + F.lit(0.0)).alias("v")), [*FAMILY, "v"], {"c": "count(*)"})
+
+
+def quantiles(counts: DataFrame, value: str, wanted: dict[str, float], spread: bool = False) -> DataFrame:
+    """cookie_id, fam and interpolated quantiles of ``value`` from counts (c), found where the running count passes their ranks.
+
+    ``counts`` has the family's ``n`` on each row.  No values are gathered: a window runs down the distinct ones, or,
+    with ``spread``, down the parts of a family.
+    """
+    if spread:
+        down = prefix.running(counts, FAMILY, [F.col(value).asc()], {"cum": "c"}, {}, "ranks")
+    else:
+        down = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*FAMILY).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda q, f: f"{f}((n - 1) * {q}D)"
+    ends = {f"{name}_{f}": f"min(CASE WHEN cum > {at(q, f)} THEN {value} END)" for name, q in wanted.items() for f in ("floor", "ceil")}
+    found = _agg(down, FAMILY, {"n": "max(n)"} | ends)
+    return found.select(*FAMILY, *[F.expr(f"{name}_floor + ({name}_ceil - {name}_floor) * ((n - 1) * {q}D - {at(q, 'floor')})").alias(name) for name, q in wanted.items()])
 
 
-NEXT = "lead(v) OVER (PARTITION BY cookie_id, fam ORDER BY pos)"
+def number_statistics(long: DataFrame, counts: DataFrame | None = None, spread: bool = False) -> DataFrame:
+    """cookie_id, fam: count, mean, population std, max, std of log1p, and interpolated quantiles, exact, from the numbers' counts."""
+    plain = _agg(long, FAMILY, NUMBER_STATS)
+    counts = frequencies(long) if counts is None else counts
+    return plain.join(quantiles(counts.join(plain.select(*FAMILY, "n"), FAMILY), "v", QUANTILES, spread), FAMILY).select(*FAMILY, *NUMBER_STATS, *QUANTILES)
 
 
-def rhythm_statistics(long: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+def rhythm_statistics(long: DataFrame, statistics: DataFrame | None = None, counts: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """cookie_id, fam: median absolute deviation, share near the median and lag-1 autocorrelation of the cadence families.
 
-    Medians come from ``statistics`` (:func:`number_statistics`), one row per visitor and family.
+    Medians come from ``statistics`` (:func:`number_statistics`), one row per visitor and family; distances from them
+    are counted as the numbers are.
     """
     rhythms = F.col("fam").isin(*C.CADENCES)
     kept = long.where(rhythms)
-    medians = (number_statistics(kept) if statistics is None else statistics.where(rhythms)).select("cookie_id", "fam", F.col("median").alias("m"))
-    paired = kept.withColumn("nv", F.expr(NEXT)).join(medians, ["cookie_id", "fam"])
-    return _agg(paired, ["cookie_id", "fam"], {"mad": SPARK["percentile"]("abs(v - m)", 0.5)} | RHYTHM_STATS)
+    counts = frequencies(kept) if counts is None else counts.where(rhythms)
+    medians = (number_statistics(kept, counts, spread) if statistics is None else statistics.where(rhythms)).select(*FAMILY, "n", F.col("median").alias("m"))
+    apart = counts.join(medians, FAMILY).withColumn("d", F.abs(F.col("v") - F.col("m")))
+    mad = quantiles(apart.drop("v", "m"), "d", {"mad": 0.5}, spread)
+    return mad.join(_agg(apart, FAMILY, NEAR_STATS), FAMILY).join(_agg(kept, FAMILY, PAIR_STATS), FAMILY)
 
 
 def widened(long: DataFrame, cells: list[tuple[str, str]]) -> DataFrame:
@@ -205,11 +241,12 @@ META = {
 }
 
 
-def feature_table(meta: DataFrame, seq: DataFrame, families: str = "all") -> DataFrame:
+def feature_table(meta: DataFrame, seq: DataFrame, families: str = "all", spread: bool = False) -> DataFrame:
     """One row per visitor of ``meta``: cookie_id and the 250 base features (``base``) or all 472 (``all``).
 
     Visitors without events have 0 in counts and -1 in statistics.  Only ids, times and events are read, so
-    labels never reach a feature.
+    labels never reach a feature.  With ``spread`` a visitor's rows may be in many tasks, and no task or window
+    gathers them.
     """
     base, v2 = C.features()
     wanted = base if families == "base" else base | v2
@@ -222,20 +259,22 @@ def feature_table(meta: DataFrame, seq: DataFrame, families: str = "all") -> Dat
     wide = meta.select("cookie_id", *[F.expr(x.format(created=f"({created})")).alias(n) for n, x in META.items()], F.expr("CAST(weekday(window_start_ts) AS double)").alias("window_weekday"))
     value_cells, number_cells, rhythm_cells = of(VALUE_STATS), of((*NUMBER_STATS, *QUANTILES)), of(("mad", *RHYTHM_STATS))
     number_cells = [(f, s) for f, s in number_cells if s != "n"]  # the count of values
-    # Numbers of all kinds come together here once; their table is read twice.
-    long = bucketed_table(numbers(seq, {f for f, _ in number_cells + rhythm_cells}), "cookie_id", "numbers")
-    statistics = number_statistics(long)
+    # Numbers of all kinds come together here once; their table is read several times.
+    long = numbers(seq, {f for f, _ in number_cells + rhythm_cells}, spread)
+    long = stage_table(long, "numbers") if spread else bucketed_table(long, "cookie_id", "numbers")
+    counts = frequencies(long)
+    statistics = number_statistics(long, counts, spread)
     parts = [
         scalar_family(seq, read | {"n_events"}),
         widened(value_statistics(seq, {f: x for f, x in C.VALUES.items() if f in {f for f, _ in value_cells}}), value_cells),
         widened(statistics, number_cells),
     ]
     if rhythm_cells:
-        parts.append(widened(rhythm_statistics(long, statistics), rhythm_cells))
+        parts.append(widened(rhythm_statistics(long, statistics, counts, spread), rhythm_cells))
     for source, stats in (
         *[(lambda c=c: sessions(seq, c), {n.format(p=f"s{c}_"): x for n, x in C.SESSION_SCALARS.items()}) for c in C.CUTOFFS],
         (lambda: _agg(seq, ["cookie_id", "run"], {"size": "count(*)"}), C.RUN_SCALARS),
-        (lambda: items(seq), C.ITEM_SCALARS),
+        (lambda: items(seq, spread), C.ITEM_SCALARS),
         (lambda: query_depths(seq), C.QUERY_SCALARS),
         (lambda: turn_cosines(seq), C.TURN_SCALARS),
     ):

@@ -9,15 +9,24 @@ from gaitprint.operators import sequences as S
 from gaitprint.sources import sample_log
 from gaitprint.sources.tables import EVENT_COLUMNS
 
+_OVER = "OVER (PARTITION BY cookie_id ORDER BY rn)"
 DUCK = {
-    "last": lambda x: f"last_value({x} IGNORE NULLS) {S._BEFORE}",
     "struct": lambda **k: "struct_pack(" + ", ".join(f"{n} := {x}" for n, x in k.items()) + ")",
-    "percentile": lambda x, q: f"quantile_cont({x}, {q})",
     "digits": "length(regexp_replace(search_query, '[^0-9]', '', 'g'))",
     "cyrillic": "length(regexp_replace(search_query, '[^а-яё]', '', 'g'))",
     "words": "(length(search_query) - length(replace(search_query, ' ', '')) + 1)",
 }
 _E = ", ".join(EVENT_COLUMNS)
+_AT = lambda x, q: f"quantile_cont({x}, {q})"
+#: The row before and the one before that; other last values are those of rows of a kind.
+LAGS = {"pt": "lag(t)", "pn": "lag(nn)", "pt2": "lag(t, 2)", "pn2": "lag(nn, 2)"} | {
+    p: f"lag(coalesce({c}, 'missing'))" for p, c in (("p_cat", "item_category"), ("p_loc", "item_location"), ("p_plat", "platform"), ("p_ua", "user_agent"))
+}
+LOOKED_BACK = {n: f"{x} {_OVER}" for n, x in LAGS.items()} | {n: f"last_value({x} IGNORE NULLS) {S._BEFORE}" for n, x in S.last_of(DUCK).items() if n not in LAGS}
+RHYTHMS = {
+    "near": C.share("abs(v - m) <= greatest(0.2D * m, 1)"),
+    "autocorrelation": "CASE WHEN count(*) >= 3 THEN covar_pop(CASE WHEN nv IS NOT NULL THEN v END, nv) / nullif(stddev_pop(CASE WHEN nv IS NOT NULL THEN v END) * stddev_pop(nv), 0) END",
+}
 _MARKS = lambda table, other: "CASE " + " ".join("WHEN " + " OR ".join(f"contains(user_agent, '{m}')" for m in marks) + f" THEN '{n}'" for n, marks in table) + f" ELSE '{other}' END"
 
 
@@ -47,13 +56,13 @@ def _columns(stats: dict[str, str]) -> str:
 
 def _seq() -> str:
     return f"""{_clean()},
-seq1 AS (SELECT *, {_columns(S.looked_back(DUCK))} FROM described),
+seq1 AS (SELECT *, {_columns(LOOKED_BACK)} FROM described),
 seq2 AS (SELECT *, {_columns(S.derived(DUCK))} FROM seq1),
-seq AS (SELECT *, {_columns(S.NUMBERED)} FROM seq2)"""
+seq AS (SELECT *, {_columns({n: f"sum({x}) {S._SO_FAR}" for n, x in S.COUNTED.items()})} FROM seq2)"""
 
 
 def _number_stats() -> dict[str, str]:
-    return S.NUMBER_STATS | {n: DUCK["percentile"]("v", q) for n, q in S.QUANTILES.items()}
+    return S.NUMBER_STATS | {n: _AT("v", q) for n, q in S.QUANTILES.items()}
 
 
 def _families() -> str:
@@ -72,7 +81,7 @@ def _families() -> str:
     numbers.append("SELECT cookie_id, 'per_query_depth', 0, CAST(depth AS double) FROM queries")
     item_stats = {("events_n" if n == "events" else n): x for n, x in S.ITEM_STATS.items()}
     in_cadence = ", ".join(f"'{f}'" for f in C.CADENCES)
-    mad = DUCK["percentile"]("abs(v - m)", 0.5)
+    mad = _AT("abs(v - m)", 0.5)
     return f"""{_seq()},
 vals AS ({values}),
 value_stats AS (SELECT cookie_id, fam, {_columns(S.VALUE_STATS)} FROM (SELECT cookie_id, fam, value, count(*) AS c FROM vals GROUP BY ALL) q GROUP BY ALL),
@@ -81,14 +90,14 @@ items AS (SELECT cookie_id, item_id, {_columns(item_stats)} FROM (SELECT *, {S.F
 queries AS (SELECT cookie_id, search_query, {_columns(S.QUERY_STATS)} FROM seq WHERE {S.QUERY_ROWS} GROUP BY ALL),
 numbers AS ({" UNION ALL ".join(numbers)}),
 number_stats AS (SELECT cookie_id, fam, {_columns(_number_stats())} FROM numbers GROUP BY ALL),
-kept AS (SELECT *, {S.NEXT} AS nv, {DUCK["percentile"]("v", 0.5)} OVER (PARTITION BY cookie_id, fam) AS m FROM numbers WHERE fam IN ({in_cadence})),
-rhythm_stats AS (SELECT cookie_id, fam, {mad} AS mad, {_columns(S.RHYTHM_STATS)} FROM kept GROUP BY ALL),
+kept AS (SELECT *, lead(v) OVER (PARTITION BY cookie_id, fam ORDER BY pos) AS nv, {_AT("v", 0.5)} OVER (PARTITION BY cookie_id, fam) AS m FROM numbers WHERE fam IN ({in_cadence})),
+rhythm_stats AS (SELECT cookie_id, fam, {mad} AS mad, {_columns(RHYTHMS)} FROM kept GROUP BY ALL),
 scalars AS (SELECT cookie_id, {_columns(C.scalars())} FROM seq GROUP BY 1),
 {", ".join(parts)},
 runs AS (SELECT cookie_id, {_columns(C.RUN_SCALARS)} FROM (SELECT cookie_id, run, count(*) AS size FROM seq GROUP BY ALL) q GROUP BY 1),
 item_scalars AS (SELECT cookie_id, {_columns(C.ITEM_SCALARS)} FROM items GROUP BY 1),
 query_scalars AS (SELECT cookie_id, {_columns(C.QUERY_SCALARS)} FROM queries GROUP BY 1),
-turned AS (SELECT *, {S.COSINE} AS cosine FROM (SELECT *, {_columns(S.TURN_BACK)} FROM seq WHERE dt > 0) q),
+turned AS (SELECT *, {S.COSINE} AS cosine FROM (SELECT *, {", ".join(f"lag({c}) {_OVER} AS {n}" for n, c in (("back_x", "dx"), ("back_y", "dy"), ("back_len", "len")))} FROM seq WHERE dt > 0) q),
 turn_scalars AS (SELECT cookie_id, {_columns(C.TURN_SCALARS)} FROM turned GROUP BY 1)"""
 
 
