@@ -72,6 +72,11 @@ def in_window(events: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.where("event_ts >= window_start_ts AND event_ts < window_end_ts")
 
 
+def normal(events: DataFrame) -> DataFrame:
+    """Text columns in their normal forms."""
+    return events.withColumns({c: text.label(c) for c in LABELS} | {"platform": text.platform(), "search_query": text.query(), "user_agent": text.user_agent()})
+
+
 def clean_events(events: DataFrame, meta: DataFrame, partitions: int | None = None) -> DataFrame:
     """Window, exact duplicates, normal forms, and ``rn``: each event's place in its visitor's canonical order.
 
@@ -79,10 +84,7 @@ def clean_events(events: DataFrame, meta: DataFrame, partitions: int | None = No
     """
     inside = in_window(events, meta)
     hashed = inside.repartition(partitions, "cookie_id") if partitions else inside.repartition("cookie_id")
-    distinct = hashed.dropDuplicates(list(EVENT_COLUMNS))
-    plain = distinct.withColumns(
-        {c: text.label(c) for c in LABELS} | {"platform": text.platform(), "search_query": text.query(), "user_agent": text.user_agent()}
-    )
+    plain = normal(hashed.dropDuplicates(list(EVENT_COLUMNS)))
     w = Window.partitionBy("cookie_id").orderBy(*[F.asc_nulls_last(c) for c in ORDER])
     return plain.withColumn("rn", F.row_number().over(w))
 

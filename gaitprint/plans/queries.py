@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
-from gaitprint.operators import clean, ensemble, ranking, sequences
+from gaitprint.operators import clean, ensemble, ranking, segments, sequences
 from gaitprint.sources import sample_log
 from gaitprint.sources.staging import bucketed_table, new_folder, stage_table
 from gaitprint.sources.tables import EVENT_COLUMNS
@@ -51,7 +51,7 @@ def _features(spark, d, families="all", only: DataFrame | None = None):
     meta, events = sample_log.load(spark, d)
     if only is not None:
         meta, events = meta.join(only, "cookie_id", "left_semi"), events.join(only, "cookie_id", "left_semi")
-    return sequences.feature_table(meta, _written(spark, meta, events), families)
+    return segments.log_features(events, meta, families)
 
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
