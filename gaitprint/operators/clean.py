@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gaitprint.functions import text
+from gaitprint.operators import pruning
 from gaitprint.sources.tables import EVENT_COLUMNS, META_TIMES
 
 LABELS = ("event_name", "item_category", "item_location", "seller_type")
@@ -48,17 +49,22 @@ def require(violations: DataFrame) -> None:
 
 def check_inputs(train: DataFrame, test: DataFrame, events: DataFrame) -> None:
     """All checks on what is read; raises on the first that fails."""
-    if "target" in test.columns:
-        raise ValueError("test visitors must not have a target")
+    check_visitors(train, test)
     if set(events.columns) != set(EVENT_COLUMNS):
         raise ValueError("unexpected event columns")
+    require(events.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("cookie_id", "event_ts", "event_name")]))
+    require(unknown_cookies(events, all_cookies(train, test)).agg(F.count(F.lit(1)).alias("unknown_cookies")))
+
+
+def check_visitors(train: DataFrame, test: DataFrame) -> None:
+    """All checks on the visitor tables; raises on the first that fails."""
+    if "target" in test.columns:
+        raise ValueError("test visitors must not have a target")
     require(cookie_violations(train, True))
     require(cookie_violations(test, False))
     require(overlapping_cookies(train, test).agg(F.count(F.lit(1)).alias("shared_ids")))
     late = train.agg(F.max("window_end_ts").alias("a")).crossJoin(test.agg(F.min("window_start_ts").alias("b")))  # one row each
     require(late.select((F.col("a") > F.col("b")).cast("int").alias("train_ends_after_test_starts")))
-    require(events.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("cookie_id", "event_ts", "event_name")]))
-    require(unknown_cookies(events, all_cookies(train, test)).agg(F.count(F.lit(1)).alias("unknown_cookies")))
 
 
 def all_cookies(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -99,27 +105,54 @@ def describe_events(clean: DataFrame) -> DataFrame:
 
 
 def audit(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """section, key, value: what the window and the duplicates removed, nulls of raw columns, counts of values."""
+    """key, value: what the window and the duplicates removed.
+
+    Rows are counted where they lie; whole rows are compared only where fingerprints meet (:func:`pruning.exact_copies`).
+    """
     joined = events.select(*EVENT_COLUMNS).join(meta.select("cookie_id", *META_TIMES), "cookie_id")
     inside = (F.col("event_ts") >= F.col("window_start_ts")) & (F.col("event_ts") < F.col("window_end_ts"))
-    # Rows are first counted per distinct event, so that no task counts distinct rows of the whole log.
-    each = joined.groupBy(*EVENT_COLUMNS, *META_TIMES).agg(F.count(F.lit(1)).alias("c")).withColumn("inside", inside)
     # Sums per visitor first: visitors without events then come from one row per visitor, and the log is read once.
-    one = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
-    per_visitor = each.groupBy("cookie_id").agg(
-        F.sum("c").alias("raw_events"),
-        (F.sum("c") - F.count(F.lit(1))).alias("raw_exact_duplicates"),
-        one(F.col("event_ts") < F.col("window_start_ts")).alias("events_before_window"),
-        one(F.col("event_ts") >= F.col("window_end_ts")).alias("events_at_or_after_window_end"),
-        one(F.col("inside")).alias("in_window_events_before_deduplication"),
-        F.sum(F.when(F.col("inside"), F.col("c") - 1).otherwise(0)).alias("in_window_exact_duplicates"),
-        one(F.col("inside") & (F.col("event_ts") < F.col("cookie_created_at"))).alias("events_before_cookie_creation_in_window"),
-        F.count_if("inside").alias("usable_events"),
+    per_visitor = joined.groupBy("cookie_id").agg(
+        F.count(F.lit(1)).alias("raw_events"),
+        F.count_if(F.col("event_ts") < F.col("window_start_ts")).alias("events_before_window"),
+        F.count_if(F.col("event_ts") >= F.col("window_end_ts")).alias("events_at_or_after_window_end"),
+        F.count_if(inside).alias("in_window_events_before_deduplication"),
+        F.count_if(inside & (F.col("event_ts") < F.col("cookie_created_at"))).alias("events_before_cookie_creation_in_window"),
     )
     names = per_visitor.columns[1:]
     all_ = meta.select("cookie_id").join(per_visitor, "cookie_id", "left")
-    counters = all_.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(F.coalesce("usable_events", F.lit(0)) == 0).alias("cookies_without_events"))
-    return counters.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in counters.columns])).alias("x")).select("x.key", "x.value")
+    counters = all_.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(F.coalesce("in_window_events_before_deduplication", F.lit(0)) == 0).alias("cookies_without_events"))
+    extra = pruning.exact_copies(joined, [*EVENT_COLUMNS, *META_TIMES]).withColumn("more", F.col("c") - 1)
+    copies = extra.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("raw_exact_duplicates"), F.coalesce(F.sum(F.when(inside, F.col("more"))), F.lit(0)).alias("in_window_exact_duplicates"))
+    both = counters.crossJoin(copies).withColumn("usable_events", F.col("in_window_events_before_deduplication") - F.col("in_window_exact_duplicates"))  # one row each
+    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in both.columns])).alias("x")).select("x.key", "x.value")
+
+
+def observed_events(events: DataFrame, meta: DataFrame) -> tuple[DataFrame, Observation]:
+    """The events in their visitors' windows, and what the one pass over the log sees besides: checks, audit and null fractions.
+
+    The observation is filled by the first action on the events.  Copies are still in; who cleans them knows how many.
+    """
+    seen = Observation("log")
+    joined = events.select(*EVENT_COLUMNS).join(meta.select("cookie_id", *META_TIMES), "cookie_id", "left")
+    ts, start, end = F.col("event_ts"), F.col("window_start_ts"), F.col("window_end_ts")
+    told = joined.observe(
+        seen, F.count(F.lit(1)).alias("raw_events"), F.count_if(start.isNull()).alias("unknown_events"), F.count_if(ts < start).alias("events_before_window"),
+        F.count_if(ts >= end).alias("events_at_or_after_window_end"), F.count_if((ts >= start) & (ts < end)).alias("in_window_events_before_deduplication"),
+        F.count_if((ts >= start) & (ts < end) & (ts < F.col("cookie_created_at"))).alias("events_before_cookie_creation_in_window"),
+        F.min(F.when((ts >= start) & (ts < end), ts)).alias("first_ts"), F.max(F.when((ts >= start) & (ts < end), ts)).alias("last_ts"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in EVENT_COLUMNS],
+    )
+    return told.where((ts >= start) & (ts < end)).select(*EVENT_COLUMNS), seen
+
+
+def check_observed(seen: Observation) -> dict:
+    """What was observed; fails if events lack a key, time or name, or are of unknown visitors."""
+    found = seen.get
+    bad = {k: found[k] for k in ("missing_cookie_id", "missing_event_ts", "missing_event_name", "unknown_events") if found[k]}
+    if bad:
+        raise ValueError(f"checks failed: {bad}")
+    return found
 
 
 def null_fractions(events: DataFrame) -> DataFrame:

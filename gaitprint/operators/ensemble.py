@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Fits whose jobs run side by side.
+FITS_AT_ONCE = 6
 #: Models: which features each sees, and its trees.
 SPECS = {
     "base_shallow": {"families": "base", "maxDepth": 3, "maxIter": 20, "stepSize": 0.1},
@@ -64,12 +69,32 @@ def fit_model(rows: DataFrame, spec: dict):
 
 def fit_models(rows: DataFrame, specs: dict = SPECS, folder: str | None = None) -> dict:
     """One model per spec, fitted on all of ``rows`` (features and target); saved below ``folder`` if one is given."""
-    models = {name: fit_model(rows, spec) for name, spec in specs.items()}
+    models = {name: model for (_, name), model in fit_at_once({(0, name): (rows, spec) for name, spec in specs.items()}).items()}
     for name, model in models.items() if folder else ():
         model.write().overwrite().save(f"{folder}/{name}")
     return models
 
 
+def fit_at_once(wanted: dict[tuple, tuple[DataFrame, dict]]) -> dict[tuple, object]:
+    """Models of (rows, spec) under their keys, fitted side by side: a boosting round of one fills the tasks that others leave idle.
+
+    Each fit has a scheduling pool of its own (fair where the session schedules so) and does what it does alone, so
+    models are the same.
+    """
+
+    def one(item):
+        key, (rows, spec) = item
+        sc = rows.sparkSession.sparkContext
+        sc.setLocalProperty("spark.scheduler.pool", "-".join(map(str, key)))
+        return key, fit_model(rows, spec)
+
+    if not wanted:
+        return {}
+    spark = next(iter(wanted.values()))[0].sparkSession
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(one), wanted.items()))
+
+
 def load_models(folder: str, specs: dict = SPECS) -> dict:
     return {name: GBTClassificationModel.load(f"{folder}/{name}") for name in specs}
 
@@ -131,15 +156,16 @@ def blend_column(recipe):
 
 def out_of_time_scores(table: DataFrame, roles: DataFrame, specs: dict = SPECS) -> DataFrame:
     """cookie_id, fold, model, score, target: each model fitted on a fold's fit rows and applied to its valid rows."""
-    out = None
-    for (fold,) in roles.select("fold").distinct().orderBy("fold").collect():  # a handful of folds
-        own = table.join(roles.where(F.col("fold") == fold).select("cookie_id", "role"), "cookie_id")
-        models = fit_models(own.where("role = 'fit'").drop("role"), specs)
-        wide = model_scores(models, own.where("role = 'valid'").drop("role"), specs)
+    folds = [fold for (fold,) in roles.select("fold").distinct().orderBy("fold").collect()]  # a handful
+    own = {fold: table.join(roles.where(F.col("fold") == fold).select("cookie_id", "role"), "cookie_id") for fold in folds}
+    fitted = fit_at_once({(fold, name): (own[fold].where("role = 'fit'").drop("role"), spec) for fold in folds for name, spec in specs.items()})
+    parts = []
+    for fold in folds:
+        models = {name: fitted[fold, name] for name in specs}
+        wide = model_scores(models, own[fold].where("role = 'valid'").drop("role"), specs)
         each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("m")
-        part = wide.select("cookie_id", F.lit(fold).alias("fold"), "target", each).select("cookie_id", "fold", "m.model", "m.score", "target")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(wide.select("cookie_id", F.lit(fold).alias("fold"), "target", each).select("cookie_id", "fold", "m.model", "m.score", "target"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recipe_scores(scores: DataFrame, recipes: dict = RECIPES) -> DataFrame:

@@ -159,6 +159,17 @@ a AS (SELECT sum(c) AS raw_events, sum(c) - count(*) AS raw_exact_duplicates, su
             f"SELECT '{k}' AS key, CAST({k} AS double) AS value FROM a"
             for k in ("raw_events", "raw_exact_duplicates", "events_before_window", "events_at_or_after_window_end", "in_window_events_before_deduplication", "in_window_exact_duplicates", "events_before_cookie_creation_in_window", "usable_events", "cookies_without_events")
         ),
+        "observed_log": f"{_clean()}, a AS (SELECT count(*) AS raw_events, count(*) FILTER (window_start_ts IS NULL) AS unknown_events, count(*) FILTER (event_ts < window_start_ts) AS events_before_window,"
+        " count(*) FILTER (event_ts >= window_end_ts) AS events_at_or_after_window_end, count(*) FILTER (event_ts >= window_start_ts AND event_ts < window_end_ts) AS in_window_events_before_deduplication,"
+        " count(*) FILTER (event_ts >= window_start_ts AND event_ts < window_end_ts AND event_ts < cookie_created_at) AS events_before_cookie_creation_in_window, "
+        + ", ".join(f"count(*) FILTER ({c} IS NULL) AS missing_{c}" for c in EVENT_COLUMNS)
+        + " FROM raw LEFT JOIN meta USING (cookie_id)) "
+        + " UNION ALL ".join(
+            f"SELECT '{k}' AS key, CAST({k} AS double) AS value FROM a"
+            for k in ("raw_events", "unknown_events", "events_before_window", "events_at_or_after_window_end", "in_window_events_before_deduplication", "events_before_cookie_creation_in_window", *(f"missing_{c}" for c in EVENT_COLUMNS))
+        ),
+        "pruned_log": f"{_clean()} SELECT cookie_id, CAST(event_ts AS date) AS day, count(*) AS n FROM joined WHERE event_ts >= window_start_ts AND event_ts < window_end_ts GROUP BY ALL",
+        "repeated_events": f"{sample_log.CTES} SELECT {_E}, count(*) AS c FROM raw GROUP BY ALL HAVING count(*) > 1",
         "null_fractions": f"{sample_log.CTES} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_fraction FROM raw" for c in EVENT_COLUMNS),
         "event_value_counts": f"{_clean()} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM clean WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("event_name", "platform")),
         "event_time_range": f"{_clean()} SELECT min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM clean",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
-from gaitprint.operators import clean, ensemble, ranking, segments, sequences
-from gaitprint.sources import sample_log
-from gaitprint.sources.staging import bucketed_table, new_folder, stage_table
+from gaitprint.operators import clean, ensemble, prefix, pruning, ranking, segments, sequences
+from gaitprint.sources import sample_log, tables
+from gaitprint.sources.staging import bucketed_table, drop_tables, new_folder, stage_table
 from gaitprint.sources.tables import EVENT_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def _features(spark, d, families="all", only: DataFrame | None = None):
     """The feature table of all visitors, or of some from their own events alone."""
     meta, events = sample_log.load(spark, d)
     if only is not None:
-        meta, events = meta.join(only, "cookie_id", "left_semi"), events.join(only, "cookie_id", "left_semi")
+        meta, events = meta.join(only, "cookie_id", "left_semi"), pruning.events_of(events, only)
     return segments.log_features(events, meta, families)
 
 
@@ -104,8 +104,26 @@ def _rebuild(spark, d):
 
 def _placed(spark, d, is_train):
     """A visitor table with row_ord, the place that scores are written in."""
-    order = Window.orderBy("window_start_ts", "cookie_id")  # a visitor table's rows are few beside its log
-    return _train(spark, d, is_train).withColumn("row_ord", F.row_number().over(order) - 1)
+    placed = prefix.positions(_train(spark, d, is_train), [], [F.asc("window_start_ts"), F.asc("cookie_id")], "places", "row_ord")
+    return placed.withColumn("row_ord", F.col("row_ord") - 1).drop("part")
+
+
+def _observed(spark, d):
+    """What one pass over the log tells: the audit's counters but for copies, the checks' counts, and nulls."""
+    meta, events = sample_log.load(spark, d)
+    inside, seen = clean.observed_events(events, meta)
+    drop_tables(stage_table(inside, "inside"))
+    rows = [(k, float(v)) for k, v in clean.check_observed(seen).items() if k not in ("first_ts", "last_ts")]
+    return spark.createDataFrame(rows, "key string, value double")
+
+
+def _pruned(spark, d):
+    """Events in their windows per visitor and day, read from a log laid out by day."""
+    meta, events = sample_log.load(spark, d)
+    folder = new_folder(spark, "log-by-day")
+    tables.write_log(events, folder)
+    inside = clean.in_window(tables.read_log(spark, folder, meta), meta)
+    return inside.groupBy("cookie_id", F.to_date("event_ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _labelled(spark, d):
@@ -164,6 +182,9 @@ def queries() -> dict[str, Query]:
     q["all_cookies"] = lambda s, d: clean.all_cookies(_train(s, d), _train(s, d, False))
     q["clean_events"] = lambda s, d: _clean(s, d).select(*EVENT_COLUMNS, "rn")
     q["event_audit"] = lambda s, d: clean.audit(*reversed(sample_log.load(s, d)))
+    q["observed_log"] = _observed
+    q["pruned_log"] = _pruned
+    q["repeated_events"] = lambda s, d: pruning.exact_copies(stage_table(sample_log.load(s, d)[1].select(*EVENT_COLUMNS), "log"), list(EVENT_COLUMNS))
     q["null_fractions"] = lambda s, d: clean.null_fractions(sample_log.load(s, d)[1])
     q["event_value_counts"] = lambda s, d: clean.value_counts(_clean(s, d))
     q["event_time_range"] = lambda s, d: clean.time_range(_clean(s, d))

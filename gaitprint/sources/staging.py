@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,34 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Folders and catalog tables made since the innermost :func:`staged` began.
+_MADE: list[list[tuple[str, str | None]]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append((path, None))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """What is staged within, folders and catalog entries, is deleted at the end; results must have been written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path, table in _MADE.pop():
+            if table is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _delete(spark, path)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -49,12 +77,12 @@ def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), new_folder(spark, name)
     df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    if _MADE:
+        _MADE[-1].append((path, table))
     return spark.table(table)
 
 
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables of :func:`stage_table` whose last reader has been written."""
     for table in tables:
-        sc = table.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.staged_at)

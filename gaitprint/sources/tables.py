@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaitprint.operators.prefix import positions
+from gaitprint.operators.pruning import within_bounds
+
 # The columns of the input tables, in their order.
 EVENT_COLUMNS = (
     "cookie_id", "event_ts", "eid", "event_name", "platform", "user_agent", "item_id", "item_category",
@@ -32,11 +35,20 @@ def parse_number(name: str) -> Column:
     return F.nullif(number, F.lit(float("nan"))).alias(name)
 
 
-def read_cookies(spark: SparkSession, path: str, labeled: bool) -> DataFrame:
-    """A visitor table from CSV: cookie_id as text, three times, and target (0/1) if labeled."""
+def read_cookies(spark: SparkSession, path: str, labeled: bool, ordered: bool = False) -> DataFrame:
+    """A visitor table from CSV: cookie_id as text, three times, target (0/1) if labeled, and on request row_ord, the row's place in the files.
+
+    Places come from where a row's file split starts and from counts per task; no task sees all rows.
+    """
     names = ("cookie_id", *META_TIMES, *(("target",) if labeled else ()))
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
-    return rows.select("cookie_id", *map(parse_time, META_TIMES), *((F.col("target").cast("int").alias("target"),) if labeled else ()))
+    target = (F.col("target").cast("int").alias("target"),) if labeled else ()
+    if not ordered:
+        return rows.select("cookie_id", *map(parse_time, META_TIMES), *target)
+    # A task reads its splits one after the other, each from its start to its end.
+    where = (F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("line_"))
+    placed = positions(rows.select("cookie_id", *map(parse_time, META_TIMES), *target, *where), [], [F.asc("file_"), F.asc("block_"), F.asc("line_")], "visitors", "row_ord")
+    return placed.withColumn("row_ord", F.col("row_ord") - 1).drop("file_", "block_", "line_", "part")
 
 
 def read_events(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -51,6 +63,16 @@ def read_events(spark: SparkSession, path: str, partitions: int | None = None) -
     return typed.repartition(partitions, "cookie_id") if partitions else typed.repartition("cookie_id")
 
 
+def write_log(events: DataFrame, path: str) -> None:
+    """The log as Parquet, a folder per day, so that a read of some days lists and reads only those."""
+    events.withColumn("event_day", F.to_date("event_ts")).repartition("event_day", F.pmod(F.xxhash64("cookie_id"), F.lit(64))).write.partitionBy("event_day").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, meta: DataFrame) -> DataFrame:
+    """The part of a log of :func:`write_log` that lies in the days and times of any visitor's window."""
+    return within_bounds(spark.read.parquet(path), meta).select(*EVENT_COLUMNS)
+
+
 def write_scores(scores: DataFrame, path: str, order: str = "row_ord") -> None:
     """cookie_id and score as CSV with a header, in the order of ``order``; doubles keep every digit."""
     scores.orderBy(order).select("cookie_id", "score").write.csv(path, header=True)
