@@ -183,10 +183,6 @@ def _words() -> list[str]:
     return [f"s{k}" for k in range(HASHES // 16)]
 
 
-def _words() -> list[str]:
-    return [f"s{k}" for k in range(HASHES // 16)]
-
-
 def _screened(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimates may reach it."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n_shingles", *_words()).alias(f"{x}_"))
@@ -317,6 +313,8 @@ def _with_partners(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
 
 def _links_within(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Confirmed links of a group that join components; each pair is looked at in its first common band."""
+    # A node of several sets comes with all of them; those that aren't in this bucket are looked at in theirs.
+    group = group[[group["key"].iloc[0] in set(b) for b in group["bands"]]].reset_index(drop=True)
     bands, node, component, texts = np.stack(group["bands"].to_numpy()), group["node"].to_numpy(), group["component"].to_numpy(), group["text"].to_numpy()
     here = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
     parent, sets, links = {c: c for c in component}, {}, []
@@ -354,7 +352,8 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     equal = stage_table(full.groupBy("same").agg(F.min("doc_id").alias("node")), "equal-sets")
     member = stage_table(full.select("doc_id", "same").join(equal, "same").select("doc_id", "node"), "member-nodes")
     own = (full["same"] == equal["same"]) & (full["doc_id"] == equal["node"])  # at most once, so no key is hot
-    nodes = full.join(equal, own).select("node", "n_shingles", "bands", *_words()).dropDuplicates(["node"])
+    # A doc_id of several texts may be the smallest of several sets; each is a row of its node, which is linked by any of them.
+    nodes = full.join(equal, own).select("node", full["same"], "n_shingles", "bands", *_words()).dropDuplicates(["node", "same"]).drop("same")
     nodes = stage_table(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = stage_table(banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")

@@ -17,6 +17,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as stores
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def _put(folder: str, name: str, parts: list) -> None:
                 f.write(part)
         os.replace(made, f"{place}/{name}")
         return
-    fs, place = pa.fs.FileSystem.from_uri(folder)
+    fs, place = stores.FileSystem.from_uri(folder)
     fs.create_dir(place)
     made = f"{place}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(made) as f:
@@ -63,7 +64,7 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
     if place is not None:
         file = f"{place}/{name}"
         return np.memmap(file, dtype=dtype, mode="r") if os.path.getsize(file) else np.zeros(0, dtype)
-    fs, place = pa.fs.FileSystem.from_uri(folder)
+    fs, place = stores.FileSystem.from_uri(folder)
     with fs.open_input_file(f"{place}/{name}") as f:
         return np.frombuffer(f.read(), dtype=dtype)
 

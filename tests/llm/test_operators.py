@@ -422,3 +422,33 @@ def test_language_learns_every_label_and_copies_once(spark, monkeypatch):
     assert len(seen[0]) == len(set(seen[0])) and set(seen[0]) == wanted
     language.fit(docs, max_rows=10)
     assert sorted(k for k, _ in seen[1]) == sorted({k for k, _ in wanted})
+
+
+def test_near_copies_of_a_doc_id_of_several_texts(spark):
+    rng = random.Random(31)
+    a, b = (" ".join(rng.choices(WORDS, k=200)) for _ in range(2))
+    rows = [(5, a), (5, b), (9, a + " old"), (10, b + " old"), (11, "something else entirely is written here")]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(5, 5), (9, 5), (10, 5), (11, 11)}
+    # In a large bucket too: a node's other set is none of the bucket's.
+    bands = [[1, 2], [3, 4], [1, 2]]
+    group = dict(key=1, i=0, j=0, own=0, n_shingles=196, **{w: 0 for w in near_copies._words()})
+    import pandas as pd
+
+    frame = pd.DataFrame([{**group, "node": n, "component": c, "bands": np.array(x), "text": t} for n, c, x, t in zip((5, 5, 9), (5, 5, 9), bands, (a, b, a + " old"), strict=True)])
+    assert near_copies._links_within(frame, 80).to_dict("records") == [{"a": 5, "b": 9}]
+
+
+def test_token_files_in_a_store_without_a_mount(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "_local", lambda folder: None)
+    folder = f"file://{tmp_path}/store"
+    out = token_files.ShardWriter(folder, 3, 2)
+    out.add(pa.array([7, None], pa.int64()), np.array([1, 2, 0, 9, 0], np.uint32), np.array([3, 2]))
+    out.add(pa.array([8], pa.int64()), np.array([0], np.uint32), np.array([1]))
+    assert not (tmp_path / "store").exists() or not list((tmp_path / "store").glob("0*"))  # nothing has its name before the shard is whole
+    assert out.close() == (3, 6)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["000003.bin", "000003.doc", "000003.idx"]
+    assert token_files._map(folder, "000003.bin", "<u2").tolist() == [1, 2, 0, 9, 0, 0] and token_files._map(folder, "000003.idx", "<i8").tolist() == [0, 3, 5, 6]
+    docs = token_files._map(folder, "000003.doc", token_files._DOC)
+    assert docs["doc_id"].tolist() == [7, 0, 8] and docs["is_null"].tolist() == [0, 1, 0]
