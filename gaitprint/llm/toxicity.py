@@ -3,7 +3,8 @@
 A text's features are the distinct runs of three to six characters of its padded words, hashed into buckets.
 In how many toxic and in how many other texts each bucket occurs is counted over all labelled rows, as
 Spark aggregates of one vector per task.  A bucket's scale is the logarithm of the two rates' ratio, drawn
-towards 0 by a multiple of its standard error, so that what can't be told from chance has no weight.  A
+towards 0 by a multiple of its standard error and a constant, so that what can't be told from chance, or tells
+little however many texts there are, has no weight.  A
 logistic regression over the scaled features is then fitted in numpy on a bounded sample of those rows.
 """
 
@@ -25,8 +26,8 @@ from gaitprint.llm.language import code_points
 BUCKET_BITS, ORDERS = 18, (3, 4, 5, 6)
 #: Labelled rows that the regression is fitted on, about (a row is drawn by a hash of its doc_id); counts are of all of them.
 MAX_ROWS = 16_384
-#: Added to the counts of each class, and standard errors that a ratio is drawn towards 0.
-SMOOTHING, ERRORS = 0.5, 2.0
+#: Added to the counts of each class; and by how many standard errors, and by how much besides, a ratio is drawn towards 0.
+SMOOTHING, ERRORS, LEAST = 0.5, 2.0, 0.4
 #: Weight of the squared coefficients, and steps of the fit.
 RIDGE, STEPS = 0.001, 400
 #: Characters hashed at a time.
@@ -96,15 +97,17 @@ def log_count_ratios(docs_with: np.ndarray, docs: np.ndarray) -> np.ndarray:
     rate0, rate1 = n0 / (docs[0] + 2 * SMOOTHING), n1 / (docs[1] + 2 * SMOOTHING)
     ratio = np.log(rate1 / rate0)
     error = np.sqrt((1 - rate0) / n0 + (1 - rate1) / n1)
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * error, 0)
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * error - LEAST, 0)
 
 
 def regression(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, scale: np.ndarray) -> Model:
     """Fit by accelerated gradient steps; row i has the features ``bucket[row == i]`` and class ``y[i]``."""
-    used, column = np.unique(bucket, return_inverse=True)
-    x, n, k = scale[used][column], len(y), len(used)
-    times = lambda w: np.bincount(row, weights=x * w[column], minlength=n)
-    back = lambda g: np.bincount(column, weights=x * g[row], minlength=k)
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS))
+    place = np.zeros(1 << BUCKET_BITS, np.int32)
+    place[used] = np.arange(len(used))
+    column, own, n, k = place[bucket], scale[used], len(y), len(used)
+    times = lambda w: np.bincount(row, weights=(w * own)[column], minlength=n)
+    back = lambda g: np.bincount(column, weights=g[row], minlength=k) * own
     v, size = np.ones(k) / max(1, k) ** 0.5, 0.0
     for _ in range(20):
         v = back(times(v)) / n
@@ -124,7 +127,7 @@ def regression(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, scale: np.nda
         ahead, ahead_bias = new + push * (new - w), new_bias + push * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
     weights = np.zeros(1 << BUCKET_BITS, np.int64)
-    weights[used] = np.round(w * scale[used] / UNIT).astype(np.int64)
+    weights[used] = np.round(w * own / UNIT).astype(np.int64)
     return Model(weights, bias)
 
 
