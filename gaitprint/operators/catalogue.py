@@ -39,8 +39,15 @@ PRESENT = ("item_id", "item_category", "item_location", "seller_type", "search_q
 
 #: Columns whose numbers are summarised as they are.
 MEASURED = ("search_page", "pointer_x", "pointer_y")
+
+
+def as_text(column: str) -> str:
+    """A column's value as text; of numbers -0.0 is 0.0."""
+    return f"CAST({column} + 0.0D AS string)" if column in ("item_id", *MEASURED) else f"CAST({column} AS string)"
+
+
 #: Families of single values: the rows, and the value as text.
-VALUES: dict[str, tuple[str, str]] = {c: (f"{c} IS NOT NULL", f"CAST({c} AS string)") for c in (*SPREAD, *BUCKETS, *MEASURED)}
+VALUES: dict[str, tuple[str, str]] = {c: (f"{c} IS NOT NULL", as_text(c)) for c in (*SPREAD, *BUCKETS, *MEASURED)}
 #: Families of numbers in order: the rows, and the number.
 NUMBERS: dict[str, tuple[str, str]] = {
     "gap": ("gap IS NOT NULL", "gap"),
@@ -61,13 +68,13 @@ VALUES |= {
     "transition": ("pn IS NOT NULL", "concat(pn, '>', nn)"),
     "ordered": ("gap > 0", "concat(pn, '>', nn)"),
     "triple": ("gap > 0 AND pt - pt2 > 0", "concat(pn2, '>', pn, '>', nn)"),
-    "pointer_px": ("has_xy", "CAST(pointer_x AS string)"),
-    "pointer_py": ("has_xy", "CAST(pointer_y AS string)"),
-    "pointer_xy": ("has_xy", "concat(CAST(pointer_x AS string), ' ', CAST(pointer_y AS string))"),
+    "pointer_px": ("has_xy", as_text("pointer_x")),
+    "pointer_py": ("has_xy", as_text("pointer_y")),
+    "pointer_xy": ("has_xy", f"concat({as_text('pointer_x')}, ' ', {as_text('pointer_y')})"),
 }
 for _a, _is in ACTIONS.items():
     for _f, _c in (("item", "item_id"), ("category", "item_category"), ("location", "item_location"), ("query", "search_query")):
-        VALUES[f"{_a}_{_f}"] = (f"{_is} AND {_c} IS NOT NULL", f"CAST({_c} AS string)")
+        VALUES[f"{_a}_{_f}"] = (f"{_is} AND {_c} IS NOT NULL", as_text(_c))
 for _f in CADENCES:
     VALUES[_f] = (NUMBERS[_f][0], f"CAST({NUMBERS[_f][1]} AS string)")
 SESSION_NUMBERS = tuple(f"session_{c}_{s}" for c in CUTOFFS for s in ("size", "span", "cv"))

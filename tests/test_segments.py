@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
 from gaitprint.operators import clean, prefix, ranking, segments, sequences
+from plain_features import all_features
 from test_features import HOURS, META, OPENS, SCHEMA
 
 
-def lopsided_log(spark, heavy=540, light=60):
+def lopsided_rows(heavy=540, light=60):
     """Nine of ten events are one visitor's, many in the same second and some in every column the same."""
     rng = random.Random(17)
     names = [*C.EVENT_TYPES, None, "  "]
@@ -21,22 +22,32 @@ def lopsided_log(spark, heavy=540, light=60):
     for i in range(heavy + light):
         who = "crawler" if i < heavy else f"v{i % 5}"
         item = rng.choice([None, *map(float, range(6))])
-        query = rng.choice([None, "a b", "A  b", "дом 7", ""])
+        query = rng.choice([None, "a b", "A  b", "дом 7", "дом", ""])
         second = rng.choice([rng.randint(0, 200), rng.randint(0, HOURS * 3600 - 1)]) if rng.random() < 0.8 else 77
-        at = rng.choice([(None, None), (3.0, None), (float(rng.randint(0, 5)), float(rng.randint(0, 5)))])
-        rows.append((who, OPENS + dt.timedelta(seconds=second), i % 9, rng.choice(names), rng.choice([None, "WEB", "iphone"]), rng.choice([None, "curl/8", "Chrome/1 (Windows)"]), item,
-                     rng.choice([None, "x", " Y "]), None, rng.choice([None, "pro"]), query, rng.choice([None, 1.0, 2.0, 5.0]), *at))
+        at = rng.choice([(None, None), (3.0, None), (-0.0, 0.0), (float(rng.randint(0, 5)), float(rng.randint(0, 5)))])
+        rows.append((who, OPENS + dt.timedelta(seconds=second), i % 9, rng.choice(names), rng.choice([None, "WEB", "iphone"]), rng.choice([None, "curl/8", "Chrome/1 (Windows)", "Safari iPhone"]), item,
+                     rng.choice([None, "x", " Y "]), rng.choice([None, "Riga", "Oslo "]), rng.choice([None, "pro"]), query, rng.choice([None, 1.0, 2.0, 5.0]), *at))
     rows += rows[:40]
     rng.shuffle(rows)
     who = [(c, OPENS - dt.timedelta(hours=5), OPENS, OPENS + dt.timedelta(hours=HOURS)) for c in ("crawler", "v0", "v1", "v2", "v3", "v4", "nobody")]
+    return rows, who
+
+
+def lopsided_log(spark):
+    rows, who = lopsided_rows()
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(who, META)
 
 
-@pytest.mark.parametrize("families", ["all"])
-def test_chunks_give_the_features_of_whole_windows(spark, families):
+def test_all_features_are_the_plain_ones_and_chunks_give_the_same(spark):
     events, meta = lopsided_log(spark)
-    whole = {r["cookie_id"]: r.asDict() for r in segments.log_features(events, meta, families).collect()}
-    cut = {r["cookie_id"]: r.asDict() for r in segments.log_features(events, meta, families, heavy_rows=50).collect()}
+    whole = {r["cookie_id"]: r.asDict() for r in segments.log_features(events, meta).collect()}
+    rows, who = lopsided_rows()
+    for visitor, created, start, end in who:
+        plain = all_features([r for r in rows if r[0] == visitor], created, start, end)
+        assert set(plain) == set(whole[visitor]) - {"cookie_id"} and len(plain) == 472
+        wrong = {n: (whole[visitor][n], v) for n, v in plain.items() if whole[visitor][n] != pytest.approx(v, rel=1e-7, abs=1e-7)}
+        assert not wrong, (visitor, wrong)
+    cut = {r["cookie_id"]: r.asDict() for r in segments.log_features(events, meta, heavy_rows=50).collect()}
     assert set(whole) == set(cut) and len(cut) == 7 and whole["crawler"]["n_events"] > 400
     for who, row in whole.items():
         for name, value in row.items():
