@@ -60,5 +60,5 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{k}" for k in range(1, 14))
     assert language.UNKNOWN == "und" and near_copies.THRESHOLD == 80
