@@ -21,6 +21,8 @@ from gaitprint.llm.common import free_name, own_columns, slices
 
 #: Distinct labelled texts that a model is fitted on at most; one of each language at least, so more if there are more languages.
 MAX_ROWS = 4096
+#: Hashes that a slice of a language's hashes gives at most; as many as Spark's ranked windows cut before they shuffle.
+SLICE_ROWS = 1000
 #: Characters of one labelled row that the sample holds at most; a longer text gives an excerpt from a drawn place.
 #: So the sample is at most max(MAX_ROWS, languages) * SAMPLE_CHARS characters.  Predictions read whole texts.
 SAMPLE_CHARS = 16_384
@@ -186,20 +188,32 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def lowest_hashes(drawn: DataFrame, each: int) -> DataFrame:
+    """Of distinct rows (lang, draw) the ``each`` lowest draws of every language, or all it has.
+
+    A language is many tasks: each slice of its draws gives its own lowest, cut before the shuffle, and only these
+    are ranked over the language.  Slices are so many that about a hundred of a language's lowest fall in one, a tenth of
+    what it may give.
+    """
+    n = max(64, each // 100)
+    sliced = drawn.withColumn("slice", F.pmod("draw", F.lit(n)))
+    first = Window.partitionBy("lang", "slice").orderBy("draw")
+    few = sliced.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= min(each, SLICE_ROWS)).select("lang", "draw")
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= each).select("lang", "draw")
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> Model | None:
     """Train on ``max_rows`` distinct labelled texts at most, of each language an equal share or all it has (one at least), those of lowest hash.
 
     Only text and lang of rows that aren't :func:`held_out` are used.  None if no such row has both.
     """
     known = docs.select("text", "lang", held_out().alias("held")).where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    drawn = known.select("lang", F.xxhash64("text", F.lit(seed)).alias("draw")).distinct()
-    counts = drawn.groupBy("lang").count().agg(F.count(F.lit(1))).first()[0]
+    counts = known.agg(F.count_distinct("lang")).first()[0]
     if not counts:
         return None
     each = max(1, max_rows // counts)
     start = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    # The texts of lowest hash: the bound of each language's draws comes from a sort of hashes within it, not of texts.
-    lowest = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= each).select("lang", "draw")
+    lowest = lowest_hashes(known.select("lang", F.xxhash64("text", F.lit(seed)).alias("draw")).distinct(), each)
     some = known.withColumn("draw", F.xxhash64("text", F.lit(seed))).join(F.broadcast(lowest), ["lang", "draw"], "left_semi").select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
     rows = some.distinct().toPandas().sort_values(["lang", "text"])
     return train(rows["text"].tolist(), rows["lang"].tolist(), seed) if len(rows) else None

@@ -351,6 +351,54 @@ def test_page_template_of_copies(spark):
     assert all(x == text("it") for x in texts_of(spark, articles).values())
 
 
+def plain_signal(name, x):
+    """A signal's digest, one sample at a time."""
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"{name}:{len(x)}:{(sum(v * v for v in x) / len(x)) ** 0.5:.3f}:{max(map(abs, x))}:{turns}:{zlib.crc32(b''.join(v.to_bytes(2, 'little', signed=True) for v in x)):08x}"
+
+
+def plain_telephony(payload):
+    """What the three decoders make of 8-bit samples, from the formats' definitions."""
+    mulaw, alaw, adpcm = [], [], []
+    for b in payload:
+        c = 255 - b
+        size = 4 * (((2 * (c % 16) + 33) << (c // 16 % 8)) - 33)
+        mulaw.append(-size if c >= 128 else size)
+        c = b ^ 0x55
+        segment, m = c // 16 % 8, c % 16
+        size = 8 * (2 * m + 1 if segment == 0 else (2 * m + 33) << (segment - 1))
+        alaw.append(size if c >= 128 else -size)
+    double = []
+    for i, v in enumerate(mulaw):
+        near = [mulaw[j] if 0 <= j < len(mulaw) else 0 for j in range(i - 3, i + 5)]
+        between = sum(int(h) * n for h, n in zip(telephony.HALF_BAND, near, strict=True))
+        double += [v, max(-32768, min(32767, (between + 16384) // 32768))]
+    steps, moves = [int(s) for s in telephony.step_sizes()], [-1, -1, -1, -1, 2, 4, 6, 8]
+    for at in range(0, len(payload), 192):
+        block = payload[at : at + 192]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        adpcm.append(value)
+        for byte in block[4:]:
+            for code in (byte % 16, byte // 16):
+                step = steps[index]
+                diff = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
+                index = max(0, min(88, index + moves[code & 7]))
+                adpcm.append(value)
+    return "|".join([plain_signal("mulaw", double), plain_signal("alaw", alaw), plain_signal("adpcm", adpcm)])
+
+
+def test_telephony_features_by_plain_decoders(spark):
+    rng = random.Random(8)
+    texts = ["", "Grüße, 日本 \x00\x7f", "a", "x" * 576, "y" * 577, "".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(0x80, 0x800), rng.randrange(0x10000, 0x10400)])) for _ in range(900))]
+    docs = spark.createDataFrame([*enumerate(texts), (90, None), (5, texts[5])], "doc_id long, text string")
+    got = telephony.store_and_describe(docs).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        raw = b"" if r["doc_id"] == 90 else texts[r["doc_id"]].encode()
+        assert r["feature"] == plain_telephony(raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))), r["doc_id"]
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"en": "the and that with have this from they would there".split(), "de": "der und nicht sich auch werden eine über schon für".split()}
@@ -373,6 +421,20 @@ def test_language(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_language_draws_the_lowest_hashes_in_slices(spark):
+    rng = random.Random(3)
+    rows = [("big", rng.randrange(-(2**63), 2**63)) for _ in range(9000)] + [("small", rng.randrange(-(2**63), 2**63)) for _ in range(700)] + [("one", 5)]
+    drawn = spark.createDataFrame(rows, "lang string, draw long")
+    for each in (1, 800, 1024, 4096):
+        got = language.lowest_hashes(drawn, each)
+        wanted = {(k, d) for k in ("big", "small", "one") for d in sorted(d for j, d in rows if j == k)[:each]}
+        kept = [(r["lang"], r["draw"]) for r in got.collect()]
+        assert len(kept) == len(wanted) and set(kept) == wanted, each
+        # The cut comes before the shuffle by slice, so that a language's hashes never meet in one task.
+        assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString(), each
+    assert language.lowest_hashes(drawn.limit(0), 4).count() == 0
+
+
 def plainly_scored(model, text):
     """A text's mean score per language, one run of letters at a time."""
     letters = [ord(c) if c.isalpha() else 0 for c in f"\n{text.lower()}\n"]
