@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaitprint.operators import catalogue as C
 from gaitprint.operators import clean, ensemble, prefix, pruning, ranking, segments, sequences
 from gaitprint.sources import sample_log, tables
-from gaitprint.sources.staging import bucketed_table, drop_tables, new_folder, stage_table
+from gaitprint.sources.staging import bucketed_table, data_version, drop_tables, new_folder, stage_table
 from gaitprint.sources.tables import EVENT_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,16 @@ def _features(spark, d, families="all", only: DataFrame | None = None):
     return segments.log_features(events, meta, families)
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame | str] = {}
+
+
+def _key(spark, d, name: str) -> tuple:
+    return spark.sparkContext.applicationId, d, name, data_version(spark, f"{d}/events.parquet")
 
 
 def _once(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries read: written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A table that several queries read: written once per application and state of the log's files."""
+    key = _key(spark, d, name)
     if key not in _WRITTEN:
         _WRITTEN[key] = stage_table(make(), name)
     return _WRITTEN[key]
@@ -148,7 +152,7 @@ def _recipe_report(spark, d):
 
 def _models(spark, d):
     """The models of all specs, fitted on all labelled visitors, saved once and read back."""
-    key = (spark.sparkContext.applicationId, d, "models")
+    key = _key(spark, d, "models")
     if key not in _WRITTEN:
         _WRITTEN[key] = new_folder(spark, "models")
         ensemble.fit_models(_labelled(spark, d), folder=_WRITTEN[key])

@@ -59,14 +59,14 @@ def event_columns(dialect: dict) -> list[str]:
         "k AS eid",
         "CASE WHEN id % 7 = 0 THEN concat('  ', upper(base), ' ') ELSE base END AS event_name",
         "CASE u % 4 WHEN 0 THEN 'android' WHEN 1 THEN 'iPhone' WHEN 2 THEN 'Desktop' ELSE 'WEB' END AS platform",
-        """CASE WHEN id % 31 = 0 THEN NULL ELSE CASE (u + id % 2) % 6 WHEN 0 THEN 'Mozilla/5.0 (Windows) Chrome/119.0'
+        """CASE WHEN id % 31 = 0 THEN NULL ELSE CASE (u + id % 2) % 6 WHEN 0 THEN 'Mozilla/5.0 (Windows) Chrome/126.0'
  WHEN 1 THEN 'Mozilla/5.0 (iPhone) Safari/604' WHEN 2 THEN 'Mozilla/5.0 (Android) Chrome/118.0' WHEN 3 THEN 'Mozilla/5.0 (X11; Linux) Firefox/120'
  WHEN 4 THEN 'HeadlessChrome/120.0 Linux' ELSE 'python-requests/2.31' END END AS user_agent""",
         f"CASE WHEN {has} THEN CAST(k % 12 AS double) END AS item_id",
         f"CASE WHEN {has} THEN concat(' Cat', CAST(k % 4 AS string), ' ') END AS item_category",
         f"CASE WHEN {has} AND id % 9 <> 0 THEN concat('loc', CAST(k % 5 AS string)) END AS item_location",
         f"CASE WHEN {has} THEN CASE WHEN k % 2 = 0 THEN 'private' ELSE 'PRO' END END AS seller_type",
-        f"CASE WHEN {search} THEN CASE WHEN id % 13 = 0 THEN '   ' ELSE CASE k % 3 WHEN 0 THEN '  Big   CAR ' WHEN 1 THEN 'boat 42' ELSE 'дом у моря' END END END AS search_query",
+        f"CASE WHEN {search} THEN CASE WHEN id % 13 = 0 THEN '   ' ELSE CASE k % 3 WHEN 0 THEN '  Used   VAN ' WHEN 1 THEN 'boat 42' ELSE 'дом у моря' END END END AS search_query",
         f"CASE WHEN {search} THEN CAST(1 + id % 4 AS double) END AS search_page",
         f"CASE WHEN {pointed} THEN CAST(CAST(floor(value) AS bigint) % 40 * 10 AS double) END AS pointer_x",
         f"CASE WHEN {pointed} THEN CAST(CAST(floor(value * 7) AS bigint) % 300 AS double) END AS pointer_y",

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +56,15 @@ def staged(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def data_version(spark: SparkSession, path: str) -> tuple:
+    """Number, total length and a digest of the files under ``path``: the same for the same files, another once one is written anew.
+
+    Paths, lengths and times are listed and reduced by Spark; no file is opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return tuple(files.agg(F.count("path"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -143,3 +143,18 @@ def test_fits_at_once_are_the_fits_alone(spark):
     trees = lambda model: model.toDebugString.split("\n", 1)[1]  # after the line with the model's own name
     for name, spec in SMALL.items():
         assert trees(both[name]) == trees(ensemble.fit_model(rows, spec))
+
+
+def test_tables_that_queries_share_follow_their_files(spark, tmp_path):
+    from gaitprint.plans import queries
+
+    made = []
+
+    def make():
+        made.append(spark.read.parquet(f"{tmp_path}/events.parquet").agg(F.sum("id").alias("total")))
+        return made[-1]
+
+    for rows, runs in ((10, 1), (10, 1), (11, 2), (11, 2)):
+        if len(made) < runs:
+            spark.range(rows).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        assert queries._once(spark, str(tmp_path), "total", make).first()[0] == sum(range(rows)) and len(made) == runs
