@@ -33,6 +33,8 @@ AIM = 0.98
 COLUMNS, STRICTNESS = 16, 2.5
 #: Vectors and queries that meet in one group of a task at most (on average).
 BLOCK_VECTORS, BLOCK_QUERIES = 1024, 1024
+#: Components gathered at a time for exact scores.
+GATHERED = 1 << 22
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -119,8 +121,8 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and embedding of the rows that take part.
+def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int, int]:
+    """vec_id and embedding of the rows that take part, their dimensions and their number (0 and 0 for none).
 
     Components keep single precision where they have it and are doubles otherwise.  Left out: null ids and vectors, zero vectors, vectors with a null or non-finite component, and vectors of
     another length than most.
@@ -134,8 +136,9 @@ def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
         & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
         & F.exists(x, lambda e: e != 0)
     )
-    dims = good.groupBy(F.size(x).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size(x) == (dims[0]["d"] if dims else 0))
+    most = good.groupBy(F.size(x).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dims, n = (most["d"], most["count"]) if most else (0, 0)
+    return good.where(F.size(x) == dims), dims, n
 
 
 def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE, aim: float = AIM) -> DataFrame:
@@ -148,10 +151,8 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
     """
     spark = table.sparkSession
     out = "query_id long, vec_id long, score double"
-    good = valid_vectors(table)
+    good, dims, n = valid_vectors(table)
     kind = good.schema["embedding"].dataType.simpleString()
-    first = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, dims = first["n"], first["d"]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(2 * k, min(sample, SAMPLE_BYTES // (4 * dims)))
@@ -220,9 +221,10 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE,
         score = np.empty(len(i))
         q, v = scaled(q), scaled(v)
         qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-        for lo in range(0, len(i), 65_536):
-            a, b = i[lo : lo + 65_536], j[lo : lo + 65_536]
-            score[lo : lo + 65_536] = (q[a] * v[b]).sum(axis=1) / (qn[a] * vn[b])
+        step = max(1, GATHERED // dims)
+        for lo in range(0, len(i), step):
+            a, b = i[lo : lo + step], j[lo : lo + step]
+            score[lo : lo + step] = (q[a] * v[b]).sum(axis=1) / (qn[a] * vn[b])
         top = best(qid[i], vid[j], score, k)
         return pd.DataFrame({"query_id": qid[i][top], "vec_id": vid[j][top], "score": score[top]})
 
