@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gaitprint.operators import catalogue as C
 from gaitprint.operators import clean, prefix, ranking, segments, sequences
+from gaitprint.sources import sample_log
+from gaitprint.sources.staging import bucketed_table
 from plain_features import all_features
 from test_features import HOURS, META, OPENS, SCHEMA
 
@@ -114,3 +116,32 @@ def test_curve_of_one_key_is_many_tasks(spark):
     assert "SinglePartition" not in plan
     holds = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(key" in line and "score" in line]
     assert not holds  # windows are of parts, and of one row per part
+
+
+def test_tasks_hold_a_bounded_number_of_events(spark, monkeypatch):
+    """The log's tasks grow with its events, and aren't put together by their bytes."""
+    meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
+    n = events.count()
+    monkeypatch.setattr(clean, "TASK_EVENTS", 100)
+    assert clean.clean_events(events, meta).rdd.getNumPartitions() == -(-n // 100)
+    monkeypatch.setattr(clean, "TASK_EVENTS", 1 << 30)
+    assert clean.tasks_for(spark, n) == int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+
+
+def test_counts_of_numbers_are_not_shuffled(spark, capsys):
+    """Quantiles are found where counts lie by visitor; parts of the features meet as short rows, by one key and without joins."""
+    rows = spark.createDataFrame([("a", "gap", float(v), None) for v in (1, 1, 2, 5)] + [("b", "gap", 3.0, None)], "cookie_id string, fam string, v double, pv double")
+    long = bucketed_table(rows, "cookie_id", "few-numbers", 3)
+    counts = sequences.frequencies(long)
+    found = sequences.quantiles(counts, "v", {"median": 0.5})
+    capsys.readouterr()
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert {(r.cookie_id, r.median) for r in found.collect()} == {("a", 1.5), ("b", 3.0)}
+    one, two = rows.groupBy("cookie_id").agg(F.count("v").alias("n")), rows.where("v = 3").groupBy("cookie_id").agg(F.max("v").alias("top"), F.min("pv").alias("none"))
+    met, places = sequences.side_by_side([one, two])
+    both = met.select("cookie_id", *[c.alias(n) for n, c in places.items()])
+    assert sorted(map(tuple, both.collect())) == [("a", 4.0, None, None), ("b", 1.0, 3.0, None)]
+    capsys.readouterr()
+    both.explain()
+    assert "Join" not in capsys.readouterr().out
