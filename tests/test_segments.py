@@ -145,3 +145,10 @@ def test_counts_of_numbers_are_not_shuffled(spark, capsys):
     capsys.readouterr()
     both.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_empty_log(spark):
+    """A log without events gives its visitors' features."""
+    meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
+    found = segments.log_features(spark.createDataFrame([], events.schema), meta.limit(3), "base").select("n_events", "has_events").collect()
+    assert [tuple(r) for r in found] == [(0.0, 0.0)] * 3
