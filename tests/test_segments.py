@@ -147,6 +147,35 @@ def test_counts_of_numbers_are_not_shuffled(spark, capsys):
     assert "Join" not in capsys.readouterr().out
 
 
+def test_numbers_are_summarised_in_one_pass(spark, capsys):
+    """All statistics come from the counts: the numbers are made once and met by nothing."""
+    values = {("a", "gap"): [1, 1, 2, 5], ("a", "len"): [0.1] * 3, ("b", "gap"): [-3, -2], ("b", "len"): [-1, 0, 7.5]}
+    rows = spark.createDataFrame([(*key, float(v), None) for key, own in values.items() for v in own], "cookie_id string, fam string, v double, pv double")
+    found = sequences.number_statistics(bucketed_table(rows, "cookie_id", "few-numbers", 3))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("FileScan") == 1
+    told = {(r["cookie_id"], r["fam"]): r for r in found.collect()}
+    assert set(told) == set(values)
+    for key, own in values.items():
+        logs = np.log1p([v for v in own if v >= 0])
+        want = {"n": len(own), "mean": np.mean(own), "std": np.std(own), "max": max(own), "median": np.median(own), "q90": np.quantile(own, 0.9)}
+        assert all(told[key][n] == pytest.approx(v, abs=1e-12) for n, v in want.items()), key
+        assert told[key]["log_std"] == (pytest.approx(np.std(logs), abs=1e-12) if len(logs) else None)
+    assert told["a", "len"]["std"] == 0 == told["a", "len"]["log_std"]
+
+
+def test_written_columns_are_those_that_numbers_read(spark):
+    meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
+    seq = sequences.sequence_columns(clean.describe_events(clean.clean_events(events, meta, 2)))
+    for families in (None, set(C.CADENCES)):
+        read = sequences.read_by_numbers(families)
+        some = seq.select(*[c for c in seq.columns if c in read])
+        assert len(some.columns) < len(seq.columns) - 20 and "user_agent" not in some.columns
+        assert sequences.numbers(some, families).columns == ["cookie_id", "fam", "v", "pv"]
+
+
 def test_empty_log(spark):
     """A log without events gives its visitors' features."""
     meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
