@@ -235,3 +235,31 @@ def test_fingerprint_and_differences(spark):
     assert [r[0] for r in ensemble.differences(a, a.where("cookie_id = 'x'")).collect()] == ["y"]
     with pytest.raises(ValueError):
         ensemble.differences(a, a.select("cookie_id", "q", "p"))
+
+
+def test_fits_read_rows_written_once(spark, monkeypatch, capsys):
+    """What a fit reads is neither joined nor shuffled again, and its tasks hold a bounded number of visitors."""
+    monkeypatch.setattr(ensemble, "TASK_VISITORS", 5)
+    specs = {"few": {"families": "base", "maxDepth": 1, "maxIter": 1, "stepSize": 0.1}, "most": {"families": "all", "maxDepth": 1, "maxIter": 1, "stepSize": 0.1}}
+    table = spark.range(100).selectExpr("concat('c', id) AS cookie_id", "CAST(id % 2 AS int) AS target", "CAST(id % 2 AS double) AS a", "CAST(id AS double) AS v2_b")
+    roles = spark.range(100).selectExpr("concat('c', id) AS cookie_id", "explode(array(1, 2)) AS fold", "CASE WHEN id < 40 * fold THEN 'fit' WHEN id < 80 + 10 * fold THEN 'valid' END AS role").where("role IS NOT NULL")
+    written = ensemble.vector_table(table, specs)
+    assert written.columns == ["cookie_id", "target", "vector_all", "vector_base"] and written.count() == 100
+    files = written.selectExpr("input_file_name() AS f").groupBy("f").count().collect()
+    assert len(files) >= 15 and max(r["count"] for r in files) < 20
+    fits, at_once = [], ensemble.fit_at_once
+
+    def watched(wanted):
+        for key, (rows, _) in wanted.items():
+            capsys.readouterr()
+            rows.explain()
+            plan = capsys.readouterr().out
+            assert "Join" not in plan and "Exchange" not in plan, key
+            fits.append((key, rows.count()))
+        return at_once(wanted)
+
+    monkeypatch.setattr(ensemble, "fit_at_once", watched)
+    scores = ensemble.out_of_time_scores(table, roles, specs).collect()
+    assert sorted(fits) == [((1, "few"), 40), ((1, "most"), 40), ((2, "few"), 80), ((2, "most"), 80)]
+    assert len(scores) == 2 * (50 + 20) and all((r["score"] > 0.5) == (r["target"] == 1) for r in scores)
+    assert set(ensemble.fit_models(table, specs)) == set(specs)
