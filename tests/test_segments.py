@@ -181,3 +181,25 @@ def test_empty_log(spark):
     meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
     found = segments.log_features(spark.createDataFrame([], events.schema), meta.limit(3), "base").select("n_events", "has_events").collect()
     assert [tuple(r) for r in found] == [(0.0, 0.0)] * 3
+
+
+def test_short_logs_are_few_tasks(spark):
+    """However many partitions shuffles have, a short log is a few tasks per core, and never as many as shuffles have."""
+    before, cores = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.defaultParallelism
+    try:
+        for shuffles in (1, clean.TASKS_PER_CORE * cores + 1, 600):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            for events in (0, 10, clean.TASK_EVENTS * 600):
+                tasks = clean.tasks_for(spark, events)
+                assert tasks != shuffles and -(-events // clean.TASK_EVENTS) <= tasks <= max(-(-events // clean.TASK_EVENTS), clean.TASKS_PER_CORE * cores + 1) + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_families_are_taken_apart_in_compiled_code(spark):
+    """No function of arrays, which Spark interprets for each event, stands between a row and its families."""
+    meta, events = sample_log.load(spark, "/root/testdata/sf0.001")
+    seq = sequences.sequence_columns(clean.describe_events(clean.clean_events(events, meta, 2)))
+    for found in (sequences.value_statistics(seq), sequences.numbers(seq)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" in plan and "lambda" not in plan
