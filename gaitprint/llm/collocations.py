@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitprint.llm.common import drop_tables, mix64, slices, stage_table
+from gaitprint.llm.common import bounded_batches, drop_tables, mix64, slices, stage_table
 
 MIN_COUNT, TOP = 30, 2000
 #: A cut's score is SCALE times the phrase's count over the sum of its parts' counts.
@@ -35,7 +35,8 @@ UNKNOWN = "und"
 FILTER_BITS = 26
 #: Parts of a stripe, by the next word, so that none is kept as one row however many words follow; and copies of rows that many others look up.
 PARTS, SALTS = 64, 16
-SLICE = 4 << 20
+#: Text of a language whose stripes a task builds at a time (in long stripes, neighbours share their prefix, and shuffles pack them better), and text of all languages that waits for that.
+SLICE, HELD = 2 << 20, 8 << 20
 #: Bytes whose words are hashed at a time.
 STEP = 1 << 20
 _BREAKS = np.zeros(256, bool)
@@ -71,7 +72,7 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a column of texts, one after the other: hash, whether a piece begins there, and their bytes."""
 
-    def __init__(self, texts: pa.Array, seed: int):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, seed: int):
         raw = [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
         self.data = data = _LOWER[np.frombuffer(b"\n".join([b"", *raw, b""]), dtype=np.uint8)]
         gap = _GAPS[data]
@@ -103,13 +104,29 @@ class Words:
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, Words]]:
-    """Slices of (lang, text) rows, one language at a time."""
+    """Slices of (lang, text) rows, one language at a time; texts wait until their language has a slice, or all of them HELD bytes."""
+    waiting: dict[str, list[pa.Array]] = {}
+    sizes: dict[str, int] = {}
+
+    def taken(name: str) -> Iterator[tuple[str, Words]]:
+        del sizes[name]
+        words = Words(pa.chunked_array(waiting.pop(name)), seed)
+        if len(words.hash):
+            yield name, words
+
     for batch in slices(batches, "text", SLICE):
         lang = batch.column(0)
         for name in pc.unique(lang).to_pylist():
-            words = Words(batch.column(1).filter(pc.equal(lang, name)), seed)
-            if len(words.hash):
-                yield name, words
+            texts = batch.column(1).filter(pc.equal(lang, name))
+            waiting.setdefault(name, []).append(texts)
+            # A row counts as some bytes, so that empty texts don't wait without end.
+            sizes[name] = sizes.get(name, 0) + texts.nbytes
+            if sizes[name] >= SLICE:
+                yield from taken(name)
+        while sum(sizes.values()) >= HELD:
+            yield from taken(max(sizes, key=sizes.get))
+    for name in list(waiting):
+        yield from taken(name)
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,15 +340,8 @@ def candidates(stripes: DataFrame, found: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two to four words.
-
-    ``docs`` has ``lang`` (null: ``und``, which may also be a language's name) and ``text`` (null: empty); no other
-    column is read.  ``a`` is the phrase's count, ``l`` and ``r`` those of the parts of its lowest-scoring cut, ``n``
-    all words of the language.  Repeated rows count each; ties are ranked by a, then by the phrase's bytes; a
-    language without a frequent phrase, and an empty table, give no rows.
-    """
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _counted_stripes(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: the words, the cells of stripes of one word, and those of two and three words."""
     for seed in range(8):
         words = stage_table(word_counts(texts, seed, least), "words")
         if not words.where("shared AND hash <> 0").limit(1).count():
@@ -339,7 +349,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> Dat
         drop_tables(words)
     else:
         raise ValueError("words share hashes under every seed")
-    shared = docs.sparkSession.sparkContext.broadcast
+    shared = texts.sparkSession.sparkContext.broadcast
 
     frequent = shared(filter_of(words.where("hash <> 0").select("lang", F.col("hash").alias("word"), F.lit(0).cast("long").alias("following"))))
 
@@ -355,6 +365,20 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> Dat
             yield from long_stripes(own, lang, pairs.value)
 
     more = stage_table(merged_cells(texts.mapInArrow(long, _STRIPES), least), "longer-stripes")
+    return words, ones, more
+
+
+def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two to four words.
+
+    ``docs`` has ``lang`` (null: ``und``, which may also be a language's name) and ``text`` (null: empty); no other
+    column is read.  ``a`` is the phrase's count, ``l`` and ``r`` those of the parts of its lowest-scoring cut, ``n``
+    all words of the language.  Repeated rows count each; ties are ranked by a, then by the phrase's bytes; a
+    language without a frequent phrase, and an empty table, give no rows.
+    """
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    with bounded_batches(docs.sparkSession):
+        words, ones, more = _counted_stripes(texts, least)
     stripes = stage_table(frequent_stripes(ones.unionByName(more)), "stripes")
     found = phrases(stripes, words)
     kept = stage_table(candidates(stripes, found), "phrases")

@@ -69,6 +69,35 @@ def test_collocations_are_all_word_runs(spark):
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
+def test_slices_of_many_languages_wait_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 4000)
+    batch = pa.record_batch([pa.array([f"l{i % 50}" for i in range(200)]), pa.array(["a b c d"] * 200)], names=["lang", "text"])
+    got = [(lang, len(words.hash)) for lang, words in collocations._by_language(iter([batch] * 5), 0)]
+    assert len(got) > 50 and {lang for lang, _ in got} == {f"l{i}" for i in range(50)}
+    assert all(sum(n for lang, n in got if lang == f"l{i}") == 5 * 4 * 4 for i in range(50))
+
+
+def test_texts_of_phrases_reach_python_in_bounded_batches(spark, monkeypatch):
+    rows = [(i, "a b c " * 10_000, "en", "s", 1) for i in range(400)]
+    docs, setting, most = documents(spark, rows).coalesce(1), "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before, stage = spark.conf.get(setting), collocations.stage_table
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def spied(df, name):
+        if name in ("words", "stripes-of-one", "longer-stripes"):
+            most[name] = docs.select("lang", "text").mapInArrow(told, "n long").agg(F.max("n")).first()[0]
+        return stage(df, name)
+
+    monkeypatch.setattr(collocations, "stage_table", spied)
+    got = [tuple(r) for r in collocations.collocations(docs, least=5, top=9).collect()]
+    assert {p: a for _, _, p, a, *_ in got} == {"a b c a": 400 * 9_999, "b c a b": 400 * 9_999, "c a b c": 400 * 9_999}
+    assert set(most) == {"words", "stripes-of-one", "longer-stripes"} and max(most.values()) < 8 << 20 and spark.conf.get(setting) == before
+
+
+
 def test_stripes_hold_totals_and_extensions():
     words = collocations.Words(pa.array(["a b a c. a b", None, "a"]), 0)
     assert words.text(np.arange(len(words.hash))).to_pylist() == ["a", "b", "a", "c", "a", "b", "a"]
